@@ -43,9 +43,12 @@ def length_bucket(length: Column, strict: bool = False) -> Column:
     Null lengths get their own label; ``strict=True`` files them under the longest
     class, as a plain if-else chain does.
     """
-    chain = F.when(F.lit(False), F.lit(NULL_BUCKET)) if strict else F.when(length.isNull(), F.lit(NULL_BUCKET))
-    for bound, label in LENGTH_BUCKETS:
-        chain = chain.when(length <= bound, F.lit(label))
+    cases = [(length <= bound, F.lit(label)) for bound, label in LENGTH_BUCKETS]
+    if not strict:
+        cases.insert(0, (length.isNull(), F.lit(NULL_BUCKET)))
+    chain = F.when(*cases[0])
+    for case in cases[1:]:
+        chain = chain.when(*case)
     return chain.otherwise(F.lit(LONGEST_BUCKET))
 
 

@@ -1,0 +1,113 @@
+"""One large CSV file read by many tasks, although its records span lines.
+
+Plain and bz2 text splits at any line. Whether a line starts inside a quoted field
+depends only on how many quote characters come before it, so the parity of the quote
+count per split, summed up in file order, says where records start. Records are then
+put together from their lines and parsed with ``from_csv``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpuskit.sources.bulk_csv import csv_options, read_bulk_csv, string_schema
+
+SPLIT = ["_file", "_block"]
+
+
+def _quotes(line: Column, dialect: str) -> Column:
+    """Quote characters that open or close a field; a doubled pair cancels out by itself."""
+    seen = F.regexp_replace(line, r"\\.", "") if dialect == "backslash" else line
+    return F.length(seen) - F.length(F.translate(seen, '"', ""))
+
+
+def _lines(spark: SparkSession, path: str, dialect: str) -> DataFrame:
+    # A newline is the only separator, so carriage returns inside fields are kept.
+    return (
+        spark.read.option("lineSep", "\n").text(path)
+        .select(
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+            F.col("value").alias("_text"),
+        )
+        .withColumn("_quotes", _quotes(F.col("_text"), dialect))
+    )
+
+
+def _assemble(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Lines or pieces of one record, in order, joined by the newline they were split at."""
+    ordered = F.array_sort(F.collect_list(F.struct(*order, "_text")))
+    return pieces.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["_text"]), "\n").alias("_text"))
+
+
+def read_split_csv(
+    spark: SparkSession,
+    path: str,
+    dialect: str = "doubled",
+    null_value: str | None = None,
+) -> DataFrame:
+    """Same rows as `read_bulk_csv` with a header, for well-quoted files of any size.
+
+    The raw text is read twice: once to count quotes per split, which leaves a row per
+    split, and once to build records. It is shuffled once, by split, so task sizes
+    follow the split size and not the file or record sizes. Only the pieces of records
+    that cross a split border, at most two per split, are shuffled again.
+    """
+    names = read_bulk_csv(spark, path, dialect).columns
+    lines = _lines(spark, path, dialect)
+
+    in_file = Window.partitionBy("_file").orderBy("_block")
+    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        lines.groupBy(*SPLIT).agg(F.sum("_quotes").alias("_n"))
+        .select(*SPLIT, (F.coalesce(F.sum("_n").over(before), F.lit(0)) % 2).alias("_carried"))
+    )
+
+    # Sort-merge keeps the split partitioning for the windows and the grouping below.
+    in_split = Window.partitionBy(*SPLIT).orderBy("_line")
+    started = (
+        lines.join(splits.hint("merge"), SPLIT)
+        .withColumn(
+            "_inside",
+            (F.col("_carried") + F.coalesce(
+                F.sum("_quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2,
+        )
+        .withColumn("_record", F.sum(F.when(F.col("_inside") == 0, 1).otherwise(0)).over(
+            in_split.rowsBetween(Window.unboundedPreceding, 0)))
+        # The line that closes the last record of the split leaves no quote open.
+        .withColumn("_open", (F.col("_inside") + F.col("_quotes")) % 2)
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("_line", "_text", "_open")))
+    pieces = (
+        started.groupBy(*SPLIT, "_record").agg(ordered.alias("_lines"))
+        .select(
+            *SPLIT, "_record",
+            F.array_join(F.transform("_lines", lambda p: p["_text"]), "\n").alias("_text"),
+            F.element_at("_lines", -1)["_open"].alias("_open"),
+        )
+    )
+
+    # Record 0 of a split continues an earlier one; a piece left open is continued later.
+    whole = pieces.where((F.col("_record") > 0) & (F.col("_open") == 0)).select(*SPLIT, "_record", "_text")
+    parts = pieces.where((F.col("_record") == 0) | (F.col("_open") == 1))
+    first_piece = F.when(F.col("_record") > 0, F.struct("_block", "_record"))
+    owner = F.last(first_piece, ignorenulls=True).over(
+        Window.partitionBy("_file").orderBy("_block", "_record").rowsBetween(Window.unboundedPreceding, 0))
+    stitched = _assemble(
+        parts.withColumn("_owner", owner)
+        .select("_file", F.col("_owner._block").alias("_start"), F.col("_owner._record").alias("_nth"),
+                "_block", "_record", "_text"),
+        ["_file", "_start", "_nth"], ["_block", "_record"],
+    ).select("_file", F.col("_start").alias("_block"), F.col("_nth").alias("_record"), "_text")
+
+    header = (F.col("_block") == 0) & (F.col("_record") == 1)
+    record = F.regexp_replace("_text", r"\r$", "")
+    parsed = F.from_csv(record, string_schema(names).simpleString(), csv_options(dialect, null_value))
+    return (
+        whole.unionByName(stitched)
+        .where(~header & (record != ""))
+        .select(parsed.alias("_row"))
+        .select("_row.*")
+    )
