@@ -68,7 +68,10 @@ def read_split_csv(
     # Sort-merge keeps the split partitioning for the windows and the grouping below.
     in_split = Window.partitionBy(*SPLIT).orderBy("_line")
     started = (
-        lines.join(splits.hint("merge"), SPLIT)
+        lines.join(splits.hint("merge"), SPLIT, "left")
+        # Both scans cut the files alike unless the cluster was resized in between; never
+        # parse on with a wrong parity.
+        .withColumn("_carried", F.coalesce("_carried", F.raise_error(F.lit("file splits changed during the read"))))
         .withColumn(
             "_inside",
             (F.col("_carried") + F.coalesce(

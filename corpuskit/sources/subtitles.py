@@ -18,7 +18,7 @@ def decode_subtitle(content: Column) -> Column:
     """UTF-8, or Latin-1 for a file that is not valid UTF-8; no BOM, LF line ends."""
     utf8 = F.is_valid_utf8(content.cast("string"))
     text = F.when(utf8, F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
-    return F.translate(F.regexp_replace(text, "^﻿", ""), "\r", "")
+    return F.translate(F.regexp_replace(text, r"^\x{FEFF}", ""), "\r", "")
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
