@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from corpuskit.operators.rulings import KEY, first_per_key, usable, with_doc_key
 from corpuskit.sources.payloads import explode_items
@@ -31,7 +30,7 @@ def store_new_documents(
     open_store(documents.sparkSession, store, run, schema)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        stored = read_store(batch.sparkSession, store, StructType(schema.fields))
+        stored = read_store(batch.sparkSession, store, schema)
         known = stored.where((F.col("run") != run) | (F.col("batch") < batch_id)).select(*KEY).distinct()
         fresh = first_per_key(usable(batch), order).join(known, KEY, "left_anti")
         write_batch(fresh, store, run, batch_id)

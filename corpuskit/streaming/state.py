@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def run_name(restart: bool) -> str:
@@ -33,7 +33,8 @@ def open_store(spark: SparkSession, root: str, run: str, schema: StructType) ->
 
 def read_store(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """All batches of all runs, with their ``run`` and ``batch``."""
-    return spark.read.schema(schema.add("run", "string").add("batch", "long")).parquet(root)
+    keys = [StructField("run", StringType()), StructField("batch", LongType())]
+    return spark.read.schema(StructType([*schema.fields, *keys])).parquet(root)
 
 
 def read_latest(spark: SparkSession, root: str, run: str, schema: StructType) -> DataFrame:
