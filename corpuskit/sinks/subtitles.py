@@ -16,8 +16,12 @@ def _clock(ms: Column) -> Column:
 
 
 def cue_block(cue_no: Column, start_ms: Column, end_ms: Column, text: Column) -> Column:
-    """A cue as subtitle text, with one of the two newlines that end it."""
-    return F.format_string("%s\n%s --> %s\n%s\n", cue_no, _clock(start_ms), _clock(end_ms), text)
+    """A cue as subtitle text, with one of the two newlines that end it.
+
+    A blank line would end the cue early, so blank lines inside the text are left out.
+    """
+    lines = F.regexp_replace(text, r"\n(?:[ \t]*\n)+", "\n")
+    return F.format_string("%s\n%s --> %s\n%s\n", cue_no, _clock(start_ms), _clock(end_ms), lines)
 
 
 def write_subtitles(cues: DataFrame, path: str, line_end: str = "\n") -> None:

@@ -62,7 +62,7 @@ def write_csv(
 
     (
         df.write.mode("overwrite")
-        .options(header=True, quote='"', escape=ESCAPE[dialect], nullValue=null_value, emptyValue="")
+        .options(header=True, quote='"', escape=ESCAPE[dialect], nullValue=null_value)
         .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression=compression)
         .csv(path)
     )

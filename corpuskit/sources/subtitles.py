@@ -26,7 +26,7 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
     block = F.col("block")
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .select(F.col("path").alias("file"), F.explode(F.split(decode_subtitle(F.col("content")), r"\n\n+")).alias("block"))
+        .select(F.col("path").alias("file"), F.explode(F.split(decode_subtitle(F.col("content")), r"\n(?:[ \t]*\n)+")).alias("block"))
         .where(block.rlike(CUE_HEAD))
         .select(
             "file",
