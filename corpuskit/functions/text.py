@@ -23,7 +23,7 @@ EMAIL = r"^[a-zA-Z0-9._-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,4}\z"
 
 def is_nullish(c: Column) -> Column:
     """Null or empty; whitespace counts as text. Never null itself."""
-    return c.isNull() | (F.length(c) == 0)
+    return c.isNull() | (F.octet_length(c) == 0)  # unlike length, does not walk the text
 
 
 def all_nullish(columns: list[Column]) -> Column:

@@ -27,9 +27,8 @@ def first_per_key(items: DataFrame, order: list[str], key: list[str] = KEY) -> D
     A minimum rather than a window: repeats are folded before the shuffle, so a
     document listed over and over does not gather in one task.
     """
-    rest = [c for c in items.columns if c not in key and c not in order]
-    first = items.groupBy(*key).agg(F.min(F.struct(*order)).alias("_order"), F.min_by(
-        F.struct(*order, *rest), F.struct(*order)).alias("_row"))
+    rest = [c for c in items.columns if c not in key]
+    first = items.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
     return first.select(*key, "_row.*").select(*items.columns)
 
 

@@ -19,4 +19,6 @@ def read_search_payloads(spark: SparkSession, path: str) -> DataFrame:
 def explode_items(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per listing item: its 0-based ``idx`` and ``item`` as a map."""
     kept = [c for c in payloads.columns if c != payload]
-    return payloads.select(*kept, F.posexplode(payload_items(parse_payload(F.col(payload)))).alias("idx", "item"))
+    # Parsed in a step of its own, since the items expression looks at the payload many times.
+    parsed = payloads.select(*kept, parse_payload(F.col(payload)).alias("_parsed"))
+    return parsed.select(*kept, F.posexplode(payload_items(F.col("_parsed"))).alias("idx", "item"))
