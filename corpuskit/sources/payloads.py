@@ -11,7 +11,7 @@ from corpuskit.functions.rulings import parse_payload, payload_items
 def read_search_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per payload file: its path and its text."""
     return (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+        spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
     )
 

@@ -13,10 +13,10 @@ from corpuskit.streaming.state import open_store, read_store, run_name, write_ba
 
 def payload_stream(spark: SparkSession, src: str, files_per_batch: int | None = None) -> DataFrame:
     """Payload files as they land: path and text."""
-    reader = spark.readStream.option("wholetext", "true").schema("value string")
+    reader = spark.readStream.schema("value string")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(src).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
+    return reader.text(src, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
 
 
 def store_new_documents(
