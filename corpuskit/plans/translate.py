@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.functions.text import flatten_lines
+from corpuskit.functions.text import flatten_lines, restore_breaks
 from corpuskit.operators.cues import reassemble
 from corpuskit.operators.inference import TextModel, map_text_batches
 
@@ -19,12 +19,16 @@ def translate_cues(
     done: DataFrame | None = None,
     parallelism: int | None = None,
 ) -> DataFrame:
-    """Cues with translated text. Those in ``done``, from an interrupted run, are not asked again."""
+    """Cues with translated text. Those in ``done``, from an interrupted run, are not asked again.
+
+    A fresh run keeps each cue and its answer in one row and shuffles nothing; a resumed
+    one puts old and new answers back by position.
+    """
+    if done is None:
+        asked = cues.withColumn("_flat", flatten_lines(F.col("text")))
+        answered = map_text_batches(asked, "_flat", model_factory, batch_size, "_answer", parallelism)
+        return answered.withColumn("text", restore_breaks(F.col("_answer"), F.col("text"))).select(*cues.columns)
     key = ["file_id", "cue_no"]
-    asked = cues.select(*key, flatten_lines(F.col("text")).alias("flat"))
-    if done is not None:
-        asked = asked.join(done.select(*key), key, "left_anti")
-    answers = map_text_batches(asked, "flat", model_factory, batch_size, parallelism=parallelism).drop("flat")
-    if done is not None:
-        answers = answers.unionByName(done.select(*key, "translated"))
-    return reassemble(cues, answers, key)
+    asked = cues.select(*key, flatten_lines(F.col("text")).alias("_flat")).join(done.select(*key), key, "left_anti")
+    answers = map_text_batches(asked, "_flat", model_factory, batch_size, parallelism=parallelism)
+    return reassemble(cues, answers.select(*key, "translated").unionByName(done.select(*key, "translated")), key)
