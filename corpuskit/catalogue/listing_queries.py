@@ -36,7 +36,8 @@ def payloads(spark, sf_dir):
 def landed_payloads(spark, sf_dir):
     """The pages as files, one per page, the way they land."""
     path = scratch_path(spark, "payloads")
-    payloads(spark, sf_dir).write.partitionBy("page_no").text(path)
+    pages = payloads(spark, sf_dir).select("payload").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pages.write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

@@ -23,8 +23,7 @@ def request_log_stream(spark, sf_dir):
 
 def ingest_stream(spark, sf_dir):
     out, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "progress")
-    src = f"{landed_payloads(spark, sf_dir)}/*"
-    ingest(spark, src, out, checkpoint, files_per_batch=50).awaitTermination()
+    ingest(spark, landed_payloads(spark, sf_dir), out, checkpoint, files_per_batch=50).awaitTermination()
     return spark.read.parquet(f"{out}/run=main").select("collection", "number", F.col("year").cast("int").alias("year"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuskit.functions.text import strip
+
 
 def classify_status(status: Column) -> Column:
     """HTTP status to outcome class; no status at all is ``error``."""
@@ -29,7 +31,7 @@ def is_final(status: Column) -> Column:
 
 def normalise_endpoint(line: Column) -> Column:
     """One endpoint notation to URL form; null where the notation is not known."""
-    text = F.trim(line)
+    text = strip(line)
     parts = F.split(text, ":")
     return (
         F.when(F.contains(text, F.lit("://")), text)

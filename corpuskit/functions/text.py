@@ -62,6 +62,11 @@ def snippet(c: Column, n: int = 200) -> Column:
     return F.when(F.length(line) > n, F.concat(F.substring(line, 1, n), F.lit("…"))).otherwise(line)
 
 
+def strip(c: Column) -> Column:
+    """Whitespace of every kind off both ends; ``trim`` takes off blanks only."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def slug(c: Column) -> Column:
     """ASCII letters and digits, the rest folded to single underscores; ``blank`` if none is left."""
     folded = F.regexp_replace(c, "[^0-9A-Za-z]+", "_")
@@ -71,7 +76,7 @@ def slug(c: Column) -> Column:
 
 def normalise_list(c: Column) -> Column:
     """Comma list to an array of trimmed upper-case names, blanks dropped."""
-    parts = F.transform(F.split(c, ","), lambda p: F.upper(F.trim(p)))
+    parts = F.transform(F.split(c, ","), lambda p: F.upper(strip(p)))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -34,9 +34,11 @@ def write_subtitles(cues: DataFrame, path: str, line_end: str = "\n") -> None:
     block = cue_block(F.col("cue_no"), F.col("start_ms"), F.col("end_ms"), F.col("text"))
     if line_end != "\n":
         block = F.replace(block, F.lit("\n"), F.lit(line_end))
+    # Opening files costs more than their few kilobytes, so the tasks are not merged by size.
+    tasks = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         cues.withColumn("_chunk", F.floor(F.col("cue_no") / CUES_PER_CHUNK))
-        .repartitionByRange("file_id", "_chunk")
+        .repartitionByRange(tasks, "file_id", "_chunk")
         .sortWithinPartitions("file_id", "cue_no")
         .select("file_id", block.alias("value"))
         .write.mode("overwrite").partitionBy("file_id").option("lineSep", line_end).text(path)

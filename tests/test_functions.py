@@ -48,7 +48,7 @@ def test_slug(spark):
 
 
 def test_normalise_list(spark):
-    assert values(spark, text.normalise_list(F.col("c")), ["ny, hq ,,", ""]) == [["NY", "HQ"], []]
+    assert values(spark, text.normalise_list(F.col("c")), ["ny,\thq\u00a0,,", ""]) == [["NY", "HQ"], []]
 
 
 def test_email(spark):
@@ -93,7 +93,7 @@ def test_masking_leaves_no_secret(spark):
 
 
 def test_endpoint_notations(spark):
-    given = ["h:80", " h:80:u:p ", "u:p@h:80", "socks5://h:1", "h:1:2", "h"]
+    given = ["h:80", "\th:80:u:p \r", "u:p@h:80", "socks5://h:1", "h:1:2", "h"]
     assert values(spark, requests.normalise_endpoint(F.col("c")), given) == [
         "http://h:80", "http://u:p@h:80", "http://u:p@h:80", "socks5://h:1", None, None]
 
