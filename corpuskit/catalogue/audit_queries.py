@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from corpuskit.catalogue.views import table, view, with_views
 from corpuskit.functions.dates import parse_date_or_null
 from corpuskit.functions.text import is_nullish, length_bucket, text_length
 from corpuskit.operators import audit, profile, sample
+from corpuskit.plans.profile import run_profile
 
 TEXTS = ["plain_text", "html_with_citations"]
 # Fixed value: the control-character class, in DuckDB's spelling.
@@ -118,6 +121,18 @@ def sample_report(spark, sf_dir):
     return profile.sample_report(table(spark, sf_dir, "documents"), sample.is_sampled(F.col("doc_id"), 10.0))
 
 
+def sample_profile(spark, sf_dir):
+    """The profile of a sample, its one-row parts side by side."""
+    parts = run_profile(view(spark, sf_dir, "opinions"), pct=20.0)
+    rates = parts["null_rates"].agg(*[
+        F.max(F.when(F.col("column_name") == c, F.col("null_pct"))).alias(f"null_{c}")
+        for c in ["id", "court_id", "date_filed", "type", "plain_text"]])
+    dates = parts["dates"].select(F.col("min_date").cast("date").alias("min_date"),
+                                  F.col("max_date").cast("date").alias("max_date"), "null_dates")
+    one_row = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [parts["lengths"], parts["empty"], dates, rates])
+    return one_row.agg(*[F.first(c, ignorenulls=True).alias(c) for c in one_row.columns])
+
+
 def union_parts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return sample.union_parts([docs, docs.select("lang", "doc_id")]).groupBy("lang").agg(
@@ -128,7 +143,7 @@ QUERIES = {f.__name__: f for f in [
     audit_counts, row_flags, audit_quantiles_exact, audit_quantiles_approx, length_histogram, length_histogram_strict,
     longest_rows, control_char_examples, null_rates, empty_counts, date_range, top_courts_keep_null,
     top_courts_drop_null, top_types, audit_summary, audit_summary_flat, bernoulli_sample, bernoulli_sample_capped,
-    random_rows, sample_report, union_parts,
+    random_rows, sample_report, sample_profile, union_parts,
 ]}
 
 _NULLISH = {c: f"({c} is null or length({c}) = 0)" for c in TEXTS}
@@ -204,6 +219,14 @@ ORACLE = {
     "random_rows": """select doc_id, n_chars from documents where (select count(*) from documents) > 10
         order by md5(concat('7:', doc_id)), doc_id limit 5""",
     "sample_report": f"select count(*) as scanned, count(*) filter (where {_HASH.format(42)} < 429496730) as sampled from documents",
+    "sample_profile": with_views(f"""
+        select cast(floor(quantile_cont(n, 0.5)) as bigint) as p50, cast(floor(quantile_cont(n, 0.9)) as bigint) as p90,
+          cast(floor(quantile_cont(n, 0.99)) as bigint) as p99, count(*) filter (where n = 0) as empty,
+          count(*) as row_count, min(d) as min_date, max(d) as max_date, count(*) filter (where d is null) as null_dates,
+          {", ".join(f"round(avg(case when {c} is null then 1 else 0 end) * 100, 2) as null_{c}"
+                     for c in ["id", "court_id", "date_filed", "type", "plain_text"])}
+        from (select *, coalesce(length(plain_text), 0) as n, cast(try_strptime(date_filed, '%Y-%m-%d') as date) as d
+              from opinions where {_HASH.format(42).replace("doc_id", "id")} < 858993459)""", "opinions"),
     "union_parts": """select lang, count(*) as row_count
         from (select doc_id, lang from documents union all select doc_id, lang from documents) group by lang""",
 }

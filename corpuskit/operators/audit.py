@@ -56,7 +56,7 @@ def length_histogram(df: DataFrame, length: Column, strict: bool = False) -> Dat
 def longest_rows(df: DataFrame, column: str, k: int = 5, key: str = "id") -> DataFrame:
     """The ``k`` longest texts, ties by key; a null text sorts last."""
     return (
-        df.select(key, text_length(F.col(column)).alias("length"))
+        df.select(key, text_length(F.col(column)).cast("bigint").alias("length"))
         .orderBy(F.desc_nulls_last("length"), F.asc(key)).limit(k)
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuskit.functions.rulings import doc_path, doc_url
 from corpuskit.operators.ordered import assign_batches
 from corpuskit.operators.rulings import pending_documents, with_doc_key
+from corpuskit.session import materialise
 from corpuskit.sources.payloads import explode_items, read_search_payloads
 
 
@@ -22,7 +23,8 @@ def run_backlog(
     """Pending documents with their address and place, in fixed-size work batches per collection."""
     items = with_doc_key(explode_items(read_search_payloads(spark, payloads)))
     candidates = items.select("file", "idx", F.upper(collection).alias("collection"), "year", "number")
-    pending = pending_documents(candidates, manifest, ["file", "idx"])
+    # Numbered from a copy, because numbering looks at its input more than once.
+    pending = materialise(pending_documents(candidates, manifest, ["file", "idx"]), "pending")
     order = [F.col("file").asc(), F.col("idx").asc(), F.col("number").asc(), F.col("year").asc()]
     key = [F.col("collection"), F.col("year"), F.col("number")]
     return assign_batches(pending, ["collection"], order, batch_size).withColumns(
