@@ -8,18 +8,33 @@ put together from their lines and parsed with ``from_csv``.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuskit.session import materialise
 from corpuskit.sources.bulk_csv import csv_options, read_bulk_csv, string_schema
 
-SPLIT = ["_file", "_block"]
+# Workers get the code below with the task and need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+PLACE = ["_file", "_block"]
+MAX_BROADCAST_SPLITS = 1_000_000
+PIECE = "_head long, _split long, _record long, _open boolean, _text string"
+PIECE_ARROW = pa.schema([
+    ("_head", pa.int64()), ("_split", pa.int64()), ("_record", pa.int64()), ("_open", pa.bool_()), ("_text", pa.string())])
 
 
 def _quotes(line: Column, dialect: str) -> Column:
     """Quote characters that open or close a field; a doubled pair cancels out by itself."""
-    seen = F.regexp_replace(line, r"\\.", "") if dialect == "backslash" else line
-    return F.length(seen) - F.length(F.translate(seen, '"', ""))
+    seen = F.regexp_replace(line, r"(?s)\\.", "") if dialect == "backslash" else line
+    return F.octet_length(seen) - F.octet_length(F.replace(seen, F.lit('"'), F.lit("")))
 
 
 def _lines(spark: SparkSession, path: str, dialect: str) -> DataFrame:
@@ -29,17 +44,90 @@ def _lines(spark: SparkSession, path: str, dialect: str) -> DataFrame:
         .select(
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
             F.col("value").alias("_text"),
         )
         .withColumn("_quotes", _quotes(F.col("_text"), dialect))
     )
 
 
-def _assemble(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Lines or pieces of one record, in order, joined by the newline they were split at."""
-    ordered = F.array_sort(F.collect_list(F.struct(*order, "_text")))
-    return pieces.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["_text"]), "\n").alias("_text"))
+def _splits(lines: DataFrame) -> DataFrame:
+    """A row per split: its number, that of the first split of its file, and whether it
+    starts inside a field."""
+    in_file = Window.partitionBy("_file").orderBy("_block")
+    before = F.sum("_n").over(in_file.rowsBetween(Window.unboundedPreceding, -1))
+    counted = lines.groupBy(*PLACE).agg(F.sum("_quotes").alias("_n")).withColumn(
+        "_carried", F.coalesce(before, F.lit(0)) % 2)
+    numbered = counted.withColumn("_split", F.row_number().over(Window.orderBy(*PLACE)).cast("long"))
+    return numbered.select(*PLACE, "_split", "_carried", F.min("_split").over(Window.partitionBy("_file")).alias("_head"))
+
+
+class _Cutter:
+    """Cuts the lines of one split into records, batch by batch.
+
+    Record 0 is what goes on from an earlier split. Lines of the record still open at
+    the end of a batch wait for the next one.
+    """
+
+    def __init__(self, head: int, split: int, carried: int):
+        self.head, self.split, self.parity = head, split, carried
+        self.record, self.waiting = 0, []
+
+    def feed(self, quotes: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+        """Numbers and texts of the records completed by these lines."""
+        through = self.parity + np.cumsum(quotes)
+        starts = np.flatnonzero((through - quotes) % 2 == 0).astype(np.int32)
+        self.parity = int(through[-1] % 2)
+        if not len(starts):
+            self.waiting.append(text)
+            return
+        if starts[0]:
+            self.waiting.append(text.slice(0, int(starts[0])))
+        if self.waiting:
+            yield np.array([self.record]), pa.array([self.take()])
+        if len(starts) > 1:
+            lines = pa.ListArray.from_arrays(pa.array(starts), text.slice(0, int(starts[-1])))
+            yield np.arange(self.record + 1, self.record + len(starts)), pc.binary_join(lines, "\n")
+        self.record += len(starts)
+        self.waiting = [text.slice(int(starts[-1]))]
+
+    def take(self) -> str:
+        return "\n".join(line for part in self.waiting for line in part.to_pylist())
+
+    def batch(self, records: np.ndarray, texts: pa.Array, is_open: bool) -> pa.RecordBatch:
+        n = len(records)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, self.head)), pa.array(np.full(n, self.split)), pa.array(records, pa.int64()),
+             pa.array(np.full(n, is_open)), texts], schema=PIECE_ARROW)
+
+
+def _cut(whole: bool):
+    """Maps lines, each split's in order, to its whole records or to its partial ones."""
+
+    def finish(cutter: _Cutter) -> Iterator[pa.RecordBatch]:
+        if cutter.waiting and whole == (cutter.record > 0 and not cutter.parity):
+            yield cutter.batch(np.array([cutter.record]), pa.array([cutter.take()]), bool(cutter.parity))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = None
+        for batch in batches:
+            split, head, carried, quotes = (
+                batch.column(c).to_numpy() for c in ("_split", "_head", "_carried", "_quotes"))
+            text = batch.column("_text")
+            borders = [0, *(np.flatnonzero(np.diff(split)) + 1).tolist(), len(split)]
+            for a, b in zip(borders, borders[1:]):
+                if a == b:
+                    continue
+                if cutter is None or cutter.split != split[a]:
+                    if cutter is not None:
+                        yield from finish(cutter)
+                    cutter = _Cutter(int(head[a]), int(split[a]), int(carried[a]))
+                for records, texts in cutter.feed(quotes[a:b], text.slice(a, b - a)):
+                    if whole == (records[0] > 0):
+                        yield cutter.batch(records, texts, False)
+        if cutter is not None:
+            yield from finish(cutter)
+
+    return cut
 
 
 def read_split_csv(
@@ -50,66 +138,46 @@ def read_split_csv(
 ) -> DataFrame:
     """Same rows as `read_bulk_csv` with a header, for well-quoted files of any size.
 
-    The raw text is read twice: once to count quotes per split, which leaves a row per
-    split, and once to build records. It is shuffled once, by split, so task sizes
-    follow the split size and not the file or record sizes. Only the pieces of records
-    that cross a split border, at most two per split, are shuffled again.
+    The raw text is scanned three times and never shuffled: for the quotes per split and
+    for the records cut in two by a split border, both now and both small results,
+    and for all other records when the frame is used. Task sizes follow the split size,
+    whatever the sizes of files and records.
     """
     names = read_bulk_csv(spark, path, dialect).columns
     lines = _lines(spark, path, dialect)
-
-    in_file = Window.partitionBy("_file").orderBy("_block")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        lines.groupBy(*SPLIT).agg(F.sum("_quotes").alias("_n"))
-        .select(*SPLIT, (F.coalesce(F.sum("_n").over(before), F.lit(0)) % 2).alias("_carried"))
-    )
-
-    # Sort-merge keeps the split partitioning for the windows and the grouping below.
-    in_split = Window.partitionBy(*SPLIT).orderBy("_line")
-    started = (
-        lines.join(splits.hint("merge"), SPLIT, "left")
-        # Both scans cut the files alike unless the cluster was resized in between; never
-        # parse on with a wrong parity.
-        .withColumn("_carried", F.coalesce("_carried", F.raise_error(F.lit("file splits changed during the read"))))
-        .withColumn(
-            "_inside",
-            (F.col("_carried") + F.coalesce(
-                F.sum("_quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2,
-        )
-        .withColumn("_record", F.sum(F.when(F.col("_inside") == 0, 1).otherwise(0)).over(
-            in_split.rowsBetween(Window.unboundedPreceding, 0)))
-        # The line that closes the last record of the split leaves no quote open.
-        .withColumn("_open", (F.col("_inside") + F.col("_quotes")) % 2)
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("_line", "_text", "_open")))
-    pieces = (
-        started.groupBy(*SPLIT, "_record").agg(ordered.alias("_lines"))
-        .select(
-            *SPLIT, "_record",
-            F.array_join(F.transform("_lines", lambda p: p["_text"]), "\n").alias("_text"),
-            F.element_at("_lines", -1)["_open"].alias("_open"),
+    splits = materialise(_splits(lines), "splits")
+
+    if splits.count() <= MAX_BROADCAST_SPLITS:
+        placed = lines.join(F.broadcast(splits), PLACE, "left")
+    else:
+        placed = (
+            lines.withColumn("_line", F.monotonically_increasing_id())
+            .join(splits.hint("merge"), PLACE, "left").sortWithinPartitions("_split", "_line")
         )
+    # All scans cut the files alike unless the cluster was resized in between; never go
+    # on with a wrong parity.
+    known = F.coalesce("_carried", F.raise_error(F.lit("file splits changed during the read")))
+    placed = placed.select("_head", "_split", known.alias("_carried"), "_quotes", "_text")
+    records = placed.mapInArrow(_cut(whole=True), PIECE)
+    parts = materialise(placed.mapInArrow(_cut(whole=False), PIECE), "parts")
+
+    # Each part belongs to the last record begun up to there. Found without the texts,
+    # of which there are at most two per split.
+    begun = F.when(F.col("_record") > 0, F.struct("_split", "_record"))
+    up_to_here = Window.partitionBy("_head").orderBy("_split", "_record").rowsBetween(Window.unboundedPreceding, 0)
+    owners = parts.select("_head", "_split", "_record", F.last(begun, ignorenulls=True).over(up_to_here).alias("_owner"))
+    texts = F.array_sort(F.collect_list(F.struct("_split", "_record", "_text")))
+    stitched = (
+        parts.join(owners, ["_head", "_split", "_record"]).groupBy("_head", "_owner")
+        .agg(F.array_join(F.transform(texts, lambda p: p["_text"]), "\n").alias("_text"))
+        .select("_head", "_owner.*", "_text")
     )
 
-    # Record 0 of a split continues an earlier one; a piece left open is continued later.
-    whole = pieces.where((F.col("_record") > 0) & (F.col("_open") == 0)).select(*SPLIT, "_record", "_text")
-    parts = pieces.where((F.col("_record") == 0) | (F.col("_open") == 1))
-    first_piece = F.when(F.col("_record") > 0, F.struct("_block", "_record"))
-    owner = F.last(first_piece, ignorenulls=True).over(
-        Window.partitionBy("_file").orderBy("_block", "_record").rowsBetween(Window.unboundedPreceding, 0))
-    stitched = _assemble(
-        parts.withColumn("_owner", owner)
-        .select("_file", F.col("_owner._block").alias("_start"), F.col("_owner._record").alias("_nth"),
-                "_block", "_record", "_text"),
-        ["_file", "_start", "_nth"], ["_block", "_record"],
-    ).select("_file", F.col("_start").alias("_block"), F.col("_nth").alias("_record"), "_text")
-
-    header = (F.col("_block") == 0) & (F.col("_record") == 1)
+    header = (F.col("_split") == F.col("_head")) & (F.col("_record") == 1)
     record = F.regexp_replace("_text", r"\r$", "")
     parsed = F.from_csv(record, string_schema(names).simpleString(), csv_options(dialect, null_value))
     return (
-        whole.unionByName(stitched)
+        records.drop("_open").unionByName(stitched)
         .where(~header & (record != ""))
         .select(parsed.alias("_row"))
         .select("_row.*")

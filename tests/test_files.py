@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corpuskit.plans.etl import EtlOptions, run_etl
 from corpuskit.sinks import tables
 from corpuskit.sinks.subtitles import write_subtitles
-from corpuskit.sources import files
+from corpuskit.sources import files, split_csv
 from corpuskit.sources.bulk_csv import read_bulk_csv, split_bad_records, string_schema
 from corpuskit.sources.split_csv import read_split_csv
 from corpuskit.sources.subtitles import read_subtitles
@@ -63,10 +63,25 @@ def test_split_reader_with_crlf_and_no_last_newline(spark, folder, small_splits)
     assert got["7"] == f'l1\r\nl2 "q" {"z" * 50}'
 
 
-def test_split_reader_shuffles_text_once(spark, folder):
+def test_split_reader_beyond_the_broadcast_bound(spark, folder, small_splits, monkeypatch):
+    rows = spark.createDataFrame(nasty_rows(300, seed=8), "id string, a string, b string").repartition(3)
+    tables.write_csv(rows, folder + "/csv", null_value=NULL)
+    monkeypatch.setattr(split_csv, "MAX_BROADCAST_SPLITS", 0)
+    got = read_split_csv(spark, folder + "/csv", null_value=NULL)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+
+
+def test_split_reader_does_not_shuffle_records(spark, folder):
     tables.write_csv(spark.createDataFrame(nasty_rows(50), "id string, a string, b string"), folder + "/c", null_value=NULL)
     plan = read_split_csv(spark, folder + "/c", null_value=NULL)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+    records = plan[plan.index("Union"):plan.index("FileScan text")]
+    assert "MapInArrow" in records and "BroadcastHashJoin" in records and "Exchange hash" not in records
+
+
+def test_split_reader_of_an_empty_file(spark, folder):
+    with open(folder + "/e.csv", "w") as f:
+        f.write("id,a\n")
+    assert read_split_csv(spark, folder + "/e.csv").count() == 0
 
 
 def test_null_and_empty_are_told_apart(spark, folder):
