@@ -22,7 +22,9 @@ COMPACT_BYTES = 1 << 19
 
 def _opinions_csv(spark, sf_dir, **options):
     path = scratch_path(spark, "csv")
-    sinks.write_csv(view(spark, sf_dir, "opinions"), path, null_value=NULL, **options)
+    # The table is a single row group; written by several tasks it becomes several files.
+    rows = view(spark, sf_dir, "opinions").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    sinks.write_csv(rows, path, null_value=NULL, **options)
     return path
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Key names seen in listings, in order of preference.
+# Key names seen in listings, in order of preference, and the forms of
+# numbers and years.
 NUMBER_KEYS = ["number", "rulingNumber", "docNumber", "controlNumber"]
 DATE_KEYS = ["rulingDate", "date", "dateIssued", "issueDate", "publicationDate"]
 TITLE_KEYS = ["title", "heading"]

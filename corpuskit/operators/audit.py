@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -100,12 +101,13 @@ def _rows_as_array(rows: DataFrame, order: list[Column], fields: list[str], name
 
 def audit_summary(
     df: DataFrame,
-    texts: list[str] = ["plain_text", "html_with_citations", "html"],
-    categories: list[str] = ["type", "precedential_status"],
-    expected: list[str] = EXPECTED_COLUMNS,
+    texts: Sequence[str] = ("plain_text", "html_with_citations", "html"),
+    categories: Sequence[str] = ("type", "precedential_status"),
+    expected: Sequence[str] = EXPECTED_COLUMNS,
     key: str = "id",
     k_values: int = 10,
     k_examples: int = 5,
+    source: str | None = None,
 ) -> DataFrame:
     """The whole report as one row of nested structs.
 
@@ -168,6 +170,7 @@ def audit_summary(
         )
 
     return flat.select(
+        F.lit(source).cast("string").alias("csv_path"),
         "total_rows",
         missing_columns_literal(df, expected).alias("missing_expected_columns"),
         per_text(lambda c: F.col(f"missing_{c}")).alias("missing"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ def cue_counts(cues: DataFrame, file: str = "file_id") -> DataFrame:
     return cues.groupBy(file).agg(F.count(F.lit(1)).alias("cues"))
 
 
-def reassemble(cues: DataFrame, translated: DataFrame, key: list[str] = ["file_id", "cue_no"]) -> DataFrame:
+def reassemble(cues: DataFrame, translated: DataFrame, key: Sequence[str] = ("file_id", "cue_no")) -> DataFrame:
     """Cues with their translated text, broken into lines where the original had breaks.
 
     The whole position is the join key, so a long file spreads over many tasks.
     """
     texts = translated.select(*key, F.col("translated"))
-    return cues.join(texts, key).select(
+    return cues.join(texts, list(key)).select(
         *[restore_breaks(F.col("translated"), F.col("text")).alias("text") if c == "text" else F.col(c)
           for c in cues.columns]
     )

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: first two lines of a cue.
-CUE_HEAD = r"^\s*(\d+)\s*\n(\d+):(\d+):(\d+),(\d+)\s*-->\s*(\d+):(\d+):(\d+),(\d+)[^\n]*"
+CUE_HEAD = r"^\s*(\d+)\s*\n(\d+):(\d+):(\d+)[,.](\d+)\s*-->\s*(\d+):(\d+):(\d+)[,.](\d+)[^\n]*"
 
 
 def _millis(block: Column, first_group: int) -> Column:
-    h, m, s, ms = [F.regexp_extract(block, CUE_HEAD, first_group + i).cast("long") for i in range(4)]
+    h, m, s, ms = [F.regexp_extract(block, CUE_HEAD, first_group + i).try_cast("long") for i in range(4)]
     return ((h * 60 + m) * 60 + s) * 1000 + ms
 
 
@@ -30,7 +30,7 @@ def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
         .where(block.rlike(CUE_HEAD))
         .select(
             "file",
-            F.regexp_extract(block, CUE_HEAD, 1).cast("int").alias("cue_no"),
+            F.regexp_extract(block, CUE_HEAD, 1).try_cast("int").alias("cue_no"),
             _millis(block, 2).alias("start_ms"),
             _millis(block, 6).alias("end_ms"),
             F.regexp_replace(F.regexp_replace(block, CUE_HEAD + r"\n?", ""), r"\n+$", "").alias("text"),

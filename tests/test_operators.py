@@ -86,8 +86,8 @@ def test_quantiles_of_nothing(spark):
 
 
 def test_audit_summary_of_a_bare_table(spark):
-    report = audit.audit_summary(spark.createDataFrame([(1,), (2,)], "id long"), expected=["id", "html"]).first()
-    assert report.total_rows == 2 and report.missing_expected_columns == ["html"] and report.lengths is None
+    report = audit.audit_summary(spark.createDataFrame([(1,), (2,)], "id long"), expected=["id", "html"], source="x.csv").first()
+    assert report.csv_path == "x.csv" and report.total_rows == 2 and report.missing_expected_columns == ["html"] and report.lengths is None
 
 
 def test_audit_summary_orders_its_lists(spark):
