@@ -89,7 +89,9 @@ def peek_rows(spark, sf_dir):
 
 
 def raw_head(spark, sf_dir):
-    return files.raw_head(spark, _opinions_csv(spark, sf_dir)).select("line_no", "line")
+    path = scratch_path(spark, "lines")
+    table(spark, sf_dir, "documents").orderBy("doc_id").select("text").write.text(path)
+    return files.raw_head(spark, path).select("line_no", "line")
 
 
 def describe_columns(spark, sf_dir):
@@ -178,6 +180,12 @@ ORACLE = {
     "bad_records_padded": with_views(f"""select cast(id as varchar) as id,
         coalesce({_SHORT}, 0) < 0 as bad from opinions""", "opinions"),
     "peek_rows": with_views("select id, type, date_filed, court_id from opinions order by id limit 10", "opinions"),
+    "raw_head": """
+        select line_no, line from (
+          select row_number() over (order by doc_id, i) as line_no, line from (
+            select doc_id, unnest(string_split(text, chr(10))) as line,
+              generate_subscripts(string_split(text, chr(10)), 1) as i from documents))
+        where line <> '' order by line_no limit 3""",
     "describe_columns": """
         select position, name, type, (select count(*) from documents) as row_count, 5 as column_count
         from (values (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'),

@@ -21,6 +21,11 @@ METADATA_WISHLIST = [
 ]
 
 
+def quoted(name: str) -> str:
+    """A header name as an identifier, whatever characters it is made of."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def missing_columns(df: DataFrame, expected: Iterable[str] = EXPECTED_COLUMNS) -> list[str]:
     """Expected names the frame lacks, in expected order; blank names are skipped."""
     present = set(df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.functions.columns import quoted
 from corpuskit.functions.dates import DATE_FORMATS, parse_date_or_null
 from corpuskit.functions.text import text_length
 
@@ -14,9 +15,9 @@ PROFILE_QUANTILES = [0.5, 0.9, 0.99]
 def null_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Percentage of nulls per column, two decimals, highest first; empty text is not null."""
     names = columns or df.columns
-    one_row = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in names])
+    one_row = df.agg(*[F.avg(F.col(quoted(c)).isNull().cast("int")).alias(c) for c in names])
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.round(F.col(f"`{c}`") * 100, 2).alias("null_pct")) for c in names
+        F.struct(F.lit(c).alias("column_name"), F.round(F.col(quoted(c)) * 100, 2).alias("null_pct")) for c in names
     ])
     return one_row.select(F.inline(pairs)).orderBy(F.desc_nulls_last("null_pct"), "column_name")
 

@@ -15,9 +15,12 @@ HEAD_ROWS = 10
 
 
 def key_hash(key: Column, seed: int = 42) -> Column:
-    """32 uniform bits of a key."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    """32 uniform bits of a key; null keys share those of the empty one."""
+    return F.conv(F.substring(_digest(key, seed), 1, 8), 16, 10).cast("bigint")
+
+
+def _digest(key: Column, salt: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def _threshold(pct: float) -> int:
@@ -66,7 +69,7 @@ def random_rows(df: DataFrame, key: str, n: int = 5, salt: int = 7, more_than: i
     """``n`` rows in random but repeatable order; none unless there are ``more_than`` rows."""
     if df.limit(more_than + 1).count() <= more_than:
         return df.limit(0)
-    return df.orderBy(F.md5(F.concat(F.lit(f"{salt}:"), F.col(key).cast("string"))), key).limit(n)
+    return df.orderBy(_digest(F.col(key), salt), key).limit(n)
 
 
 def union_parts(parts: list[DataFrame]) -> DataFrame:

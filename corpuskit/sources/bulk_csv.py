@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from corpuskit.functions.columns import quoted
+
 ESCAPE = {"doubled": '"', "backslash": "\\"}
 CORRUPT = "_corrupt_record"
 SURPLUS = "_surplus"
@@ -69,12 +71,14 @@ def split_bad_records(
         .csv(path)
     )
     if policy == "strict":
-        bad = F.col(CORRUPT).isNotNull()
+        # The reader refuses queries that touch nothing but the corrupt text, such as a count
+        # of either side; an empty piece of a data column keeps them valid.
+        bad = F.concat_ws("", F.substring(F.col(quoted(schema.names[0])), 1, 0), CORRUPT) != ""
     else:
         # With one column too many declared, every sound record is one field short and
         # thus marked; a record with exactly one surplus field is the one that is not.
         bad = F.col(SURPLUS).isNotNull() | F.col(CORRUPT).isNull()
-    text = [F.col(name) for name in schema.names]
+    text = [F.col(quoted(name)) for name in schema.names]
     if policy == "strict":
         return rows.where(~bad).select(*text), rows.where(bad).select(*text, CORRUPT)
     # A record with one surplus field parsed cleanly, so its text is put together again.

@@ -52,7 +52,7 @@ def raw_head(spark: SparkSession, path: str, n: int = 3) -> DataFrame:
     """
     found: list[tuple[str, int, str]] = []
     for file in sorted(spark.read.text(path).inputFiles()):
-        lines = spark.read.text(file).select(
+        lines = spark.read.option("lineSep", "\n").text(file).select(
             "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")
         )
         rows = lines.where(F.length("value") > 0).take(n - len(found))

@@ -18,8 +18,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuskit.functions.columns import quoted
 from corpuskit.session import materialise
-from corpuskit.sources.bulk_csv import csv_options, read_bulk_csv, string_schema
+from corpuskit.sources.bulk_csv import csv_options, read_bulk_csv
 
 # Workers get the code below with the task and need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,14 +52,20 @@ def _lines(spark: SparkSession, path: str, dialect: str) -> DataFrame:
 
 
 def _splits(lines: DataFrame) -> DataFrame:
-    """A row per split: its number, that of the first split of its file, and whether it
-    starts inside a field."""
+    """A row per split: its number, that of the first split of its file, whether it starts
+    inside a field, and whether its file ends inside one.
+
+    The numbering runs in one task, over 800,000 rows for 100 TB in default splits.
+    """
     in_file = Window.partitionBy("_file").orderBy("_block")
     before = F.sum("_n").over(in_file.rowsBetween(Window.unboundedPreceding, -1))
     counted = lines.groupBy(*PLACE).agg(F.sum("_quotes").alias("_n")).withColumn(
         "_carried", F.coalesce(before, F.lit(0)) % 2)
     numbered = counted.withColumn("_split", F.row_number().over(Window.orderBy(*PLACE)).cast("long"))
-    return numbered.select(*PLACE, "_split", "_carried", F.min("_split").over(Window.partitionBy("_file")).alias("_head"))
+    whole_file = Window.partitionBy("_file")
+    return numbered.select(
+        *PLACE, "_split", "_carried", F.min("_split").over(whole_file).alias("_head"),
+        (F.sum("_n").over(whole_file) % 2 == 1).alias("_unbalanced"))
 
 
 class _Cutter:
@@ -147,6 +154,11 @@ def read_split_csv(
     lines = _lines(spark, path, dialect)
     splits = materialise(_splits(lines), "splits")
 
+    # A quote too many would make one record of the rest of the file.
+    unbalanced = splits.where("_unbalanced").select("_file").first()
+    if unbalanced:
+        raise ValueError(f"odd number of quotes in {unbalanced[0]}; read it with read_bulk_csv")
+
     if splits.count() <= MAX_BROADCAST_SPLITS:
         placed = lines.join(F.broadcast(splits), PLACE, "left")
     else:
@@ -175,7 +187,8 @@ def read_split_csv(
 
     header = (F.col("_split") == F.col("_head")) & (F.col("_record") == 1)
     record = F.regexp_replace("_text", r"\r$", "")
-    parsed = F.from_csv(record, string_schema(names).simpleString(), csv_options(dialect, null_value))
+    ddl = ", ".join(f"{quoted(name)} string" for name in names)
+    parsed = F.from_csv(record, ddl, csv_options(dialect, null_value))
     return (
         records.drop("_open").unionByName(stitched)
         .where(~header & (record != ""))

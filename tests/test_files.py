@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskit.operators.profile import null_rates
 from corpuskit.plans.etl import EtlOptions, run_etl
 from corpuskit.sinks import tables
 from corpuskit.sinks.subtitles import write_subtitles
@@ -78,6 +79,25 @@ def test_split_reader_does_not_shuffle_records(spark, folder):
     assert "MapInArrow" in records and "BroadcastHashJoin" in records and "Exchange hash" not in records
 
 
+def test_split_reader_refuses_unbalanced_quotes(spark, folder):
+    with open(folder + "/u.csv", "w") as f:
+        f.write('id,a\n1,5" pipe\n2,x\n')
+    with pytest.raises(ValueError, match="u.csv"):
+        read_split_csv(spark, folder + "/u.csv")
+
+
+def test_header_names_of_any_kind(spark, folder):
+    with open(folder + "/h.csv", "w") as f:
+        f.write('first name,a.b,"c`d"\n1,2,\n')
+    for read in (read_split_csv, read_bulk_csv):
+        df = read(spark, folder + "/h.csv")
+        assert df.columns == ["first name", "a.b", "c`d"] and df.collect() == [("1", "2", None)]
+    rates = null_rates(read_bulk_csv(spark, folder + "/h.csv")).collect()
+    assert [tuple(r) for r in rates] == [("c`d", 100.0), ("a.b", 0.0), ("first name", 0.0)]
+    good, _ = split_bad_records(spark, folder + "/h.csv", string_schema(df.columns))
+    assert good.count() == 1
+
+
 def test_split_reader_of_an_empty_file(spark, folder):
     with open(folder + "/e.csv", "w") as f:
         f.write("id,a\n")
@@ -107,6 +127,7 @@ def test_bad_record_policies(spark, folder):
     assert [r.id for r in good.collect()] == ["1", "5"] and sorted(r.id for r in bad.collect()) == ["2", "3", "4"]
     good, bad = split_bad_records(spark, path, schema, "pandas")
     assert [tuple(r) for r in good.collect()] == [("1", "x", "y\nz"), ("2", "short", None), ("5", "x", "y")]
+    assert good.count() == 3 and bad.count() == 2
     assert {r.id: r["_corrupt_record"] for r in bad.collect()} == {"3": "3,x,y,long", "4": "4,x,y,very,long"}
     with pytest.raises(ValueError):
         split_bad_records(spark, path, schema, "lenient")

@@ -121,6 +121,8 @@ def sample_all(spark):
 
 
 def test_sample_edges(spark):
+    nulls = spark.createDataFrame([(None, i) for i in range(20)], "id long, i long")
+    assert sample.bernoulli_sample(nulls, "id", 100.0).count() == 20
     df = spark.range(50)
     assert sample.bernoulli_sample(df, "id", 250.0).count() == 50
     assert [r.id for r in sample.bernoulli_sample(df, "id", -1.0).orderBy("id").collect()] == list(range(10))
