@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PLACE = ["_file", "_block"]
 MAX_BROADCAST_SPLITS = 1_000_000
+SPLITS_CHANGED = "the files were split differently during the read; read them again"
 PIECE = "_head long, _split long, _record long, _open boolean, _text string"
 PIECE_ARROW = pa.schema([
     ("_head", pa.int64()), ("_split", pa.int64()), ("_record", pa.int64()), ("_open", pa.bool_()), ("_text", pa.string())])
@@ -59,12 +60,14 @@ def _splits(lines: DataFrame) -> DataFrame:
     """
     in_file = Window.partitionBy("_file").orderBy("_block")
     before = F.sum("_n").over(in_file.rowsBetween(Window.unboundedPreceding, -1))
-    counted = lines.groupBy(*PLACE).agg(F.sum("_quotes").alias("_n")).withColumn(
-        "_carried", F.coalesce(before, F.lit(0)) % 2)
+    counted = (
+        lines.groupBy(*PLACE).agg(F.sum("_quotes").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_carried", F.coalesce(before, F.lit(0)) % 2)
+    )
     numbered = counted.withColumn("_split", F.row_number().over(Window.orderBy(*PLACE)).cast("long"))
     whole_file = Window.partitionBy("_file")
     return numbered.select(
-        *PLACE, "_split", "_carried", F.min("_split").over(whole_file).alias("_head"),
+        *PLACE, "_split", "_rows", "_carried", F.min("_split").over(whole_file).alias("_head"),
         (F.sum("_n").over(whole_file) % 2 == 1).alias("_unbalanced"))
 
 
@@ -75,12 +78,13 @@ class _Cutter:
     the end of a batch wait for the next one.
     """
 
-    def __init__(self, head: int, split: int, carried: int):
+    def __init__(self, head: int, split: int, carried: int, rows: int):
         self.head, self.split, self.parity = head, split, carried
-        self.record, self.waiting = 0, []
+        self.rows_left, self.record, self.waiting = rows, 0, []
 
     def feed(self, quotes: np.ndarray, text: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
         """Numbers and texts of the records completed by these lines."""
+        self.rows_left -= len(quotes)
         through = self.parity + np.cumsum(quotes)
         starts = np.flatnonzero((through - quotes) % 2 == 0).astype(np.int32)
         self.parity = int(through[-1] % 2)
@@ -111,14 +115,16 @@ def _cut(whole: bool):
     """Maps lines, each split's in order, to its whole records or to its partial ones."""
 
     def finish(cutter: _Cutter) -> Iterator[pa.RecordBatch]:
+        if cutter.rows_left:
+            raise RuntimeError(SPLITS_CHANGED)
         if cutter.waiting and whole == (cutter.record > 0 and not cutter.parity):
             yield cutter.batch(np.array([cutter.record]), pa.array([cutter.take()]), bool(cutter.parity))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = None
         for batch in batches:
-            split, head, carried, quotes = (
-                batch.column(c).to_numpy() for c in ("_split", "_head", "_carried", "_quotes"))
+            split, head, carried, rows, quotes = (
+                batch.column(c).to_numpy() for c in ("_split", "_head", "_carried", "_rows", "_quotes"))
             text = batch.column("_text")
             borders = [0, *(np.flatnonzero(np.diff(split)) + 1).tolist(), len(split)]
             for a, b in zip(borders, borders[1:]):
@@ -127,7 +133,7 @@ def _cut(whole: bool):
                 if cutter is None or cutter.split != split[a]:
                     if cutter is not None:
                         yield from finish(cutter)
-                    cutter = _Cutter(int(head[a]), int(split[a]), int(carried[a]))
+                    cutter = _Cutter(int(head[a]), int(split[a]), int(carried[a]), int(rows[a]))
                 for records, texts in cutter.feed(quotes[a:b], text.slice(a, b - a)):
                     if whole == (records[0] > 0):
                         yield cutter.batch(records, texts, False)
@@ -166,10 +172,10 @@ def read_split_csv(
             lines.withColumn("_line", F.monotonically_increasing_id())
             .join(splits.hint("merge"), PLACE, "left").sortWithinPartitions("_split", "_line")
         )
-    # All scans cut the files alike unless the cluster was resized in between; never go
-    # on with a wrong parity.
-    known = F.coalesce("_carried", F.raise_error(F.lit("file splits changed during the read")))
-    placed = placed.select("_head", "_split", known.alias("_carried"), "_quotes", "_text")
+    # All scans cut the files alike unless settings or the number of cores changed in
+    # between; rather fail than mix two ways of cutting.
+    known = F.coalesce("_carried", F.raise_error(F.lit(SPLITS_CHANGED)))
+    placed = placed.select("_head", "_split", "_rows", known.alias("_carried"), "_quotes", "_text")
     records = placed.mapInArrow(_cut(whole=True), PIECE)
     parts = materialise(placed.mapInArrow(_cut(whole=False), PIECE), "parts")
 

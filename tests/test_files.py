@@ -79,6 +79,16 @@ def test_split_reader_does_not_shuffle_records(spark, folder):
     assert "MapInArrow" in records and "BroadcastHashJoin" in records and "Exchange hash" not in records
 
 
+@pytest.mark.parametrize("later", ["2048", "1m"])
+def test_split_reader_notices_other_splits(spark, folder, small_splits, later):
+    rows = spark.createDataFrame(nasty_rows(300), "id string, a string, b string").coalesce(1)
+    tables.write_csv(rows, folder + "/csv", null_value=NULL)
+    df = read_split_csv(spark, folder + "/csv", null_value=NULL)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", later)
+    with pytest.raises(Exception, match="split differently"):
+        df.collect()
+
+
 def test_split_reader_refuses_unbalanced_quotes(spark, folder):
     with open(folder + "/u.csv", "w") as f:
         f.write('id,a\n1,5" pipe\n2,x\n')
