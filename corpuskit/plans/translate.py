@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import flatten_lines, restore_breaks
 from corpuskit.operators.cues import reassemble
 from corpuskit.operators.inference import TextModel, map_text_batches
+from corpuskit.sinks.subtitles import write_subtitles
+from corpuskit.sources.subtitles import read_subtitles
 
 
 def translate_cues(
@@ -32,3 +34,18 @@ def translate_cues(
     asked = cues.select(*key, flatten_lines(F.col("text")).alias("_flat")).join(done.select(*key), key, "left_anti")
     answers = map_text_batches(asked, "_flat", model_factory, batch_size, parallelism=parallelism)
     return reassemble(cues, answers.select(*key, "translated").unionByName(done.select(*key, "translated")), key)
+
+
+def run_translation(
+    spark: SparkSession,
+    src: str,
+    out: str,
+    model_factory: Callable[[], TextModel],
+    batch_size: int = 32,
+    parallelism: int | None = None,
+) -> None:
+    """Translates every subtitle file below ``src``; each gets a folder below ``out`` named
+    after its path."""
+    name = F.substring_index("file", src.rstrip("/") + "/", -1)
+    cues = read_subtitles(spark, src).withColumn("file_id", name).drop("file")
+    write_subtitles(translate_cues(cues, model_factory, batch_size, parallelism=parallelism), out)

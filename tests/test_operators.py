@@ -1,6 +1,7 @@
 """Operators against brute force and invariants."""
 
 import itertools
+import os
 import random
 from types import SimpleNamespace
 
@@ -11,10 +12,15 @@ from pyspark.sql import functions as F
 from corpuskit.functions.requests import classify_status
 from corpuskit.operators import audit, cues, profile, requests, rulings, sample
 from corpuskit.operators.inference import glossary_model, map_text_batches
+from corpuskit.plans.audit import run_audit
 from corpuskit.plans.backlog import run_backlog
+from corpuskit.plans.etl import EtlOptions, run_etl
 from corpuskit.plans.profile import run_profile
-from corpuskit.plans.translate import translate_cues
+from corpuskit.plans.translate import run_translation, translate_cues
 from corpuskit.session import shared_root
+from corpuskit.sinks.tables import write_csv
+from corpuskit.sources.bulk_csv import read_bulk_csv
+from corpuskit.sources.subtitles import read_subtitles
 
 
 @pytest.fixture(scope="module")
@@ -173,11 +179,36 @@ def test_interrupted_translation_goes_on(spark):
     assert cues.cue_counts(df).collect() == [(1, 2)]
 
 
-def test_profile_parts(spark):
+def test_translation_of_files(spark, folder):
+    for name, word in [("a/x.srt", "the one"), ("b/x.srt", "the two")]:
+        os.makedirs(os.path.dirname(f"{folder}/in/{name}"), exist_ok=True)
+        with open(f"{folder}/in/{name}", "w") as f:
+            f.write(f"1\n00:00:01,000 --> 00:00:02,000\n{word}\n\n2\n00:00:03,000 --> 00:00:04,000\nend\n")
+    run_translation(spark, folder + "/in", folder + "/out", glossary_model({"the": "THE"}))
+    got = read_subtitles(spark, folder + "/out").orderBy("file", "cue_no").select("text").collect()
+    assert [r.text for r in got] == ["THE one", "end", "THE two", "end"]
+
+
+def test_audit_job_on_csv_and_on_its_stage(spark, folder):
+    rows = spark.createDataFrame(
+        [(str(i), "née\n" * i if i % 3 else None, "<p>" if i % 2 else "") for i in range(30)],
+        "id string, plain_text string, html_with_citations string")
+    write_csv(rows, folder + "/csv")
+    run_etl(spark, folder + "/csv", folder + "/stage", EtlOptions(null_value="\\N"))
+    by_csv = run_audit(spark, folder + "/csv", folder + "/r1").first()
+    by_stage = run_audit(spark, folder + "/stage", folder + "/r2", staged=True).first()
+    assert by_csv.total_rows == by_stage.total_rows == 30 and by_csv.csv_path == folder + "/csv"
+    assert by_stage.missing.plain_text == 10 and by_stage.missing_all == 5
+    assert by_csv.lengths.html_with_citations.p50 == by_stage.lengths.html_with_citations.p90 == 3
+    assert "precedential_status" in by_csv.missing_expected_columns
+
+
+def test_profile_parts(spark, folder):
     df = spark.range(100).select(
         "id", F.concat(F.lit("court"), F.col("id") % 3).alias("court_id"), F.lit("2001-02-03").alias("date_filed"),
         F.repeat(F.lit("x"), F.col("id").cast("int")).alias("plain_text"))
-    parts = run_profile(df, pct=100.0)
+    parts = run_profile(df, pct=100.0, out=folder + "/sample", outfmt="csv")
+    assert read_bulk_csv(spark, folder + "/sample").count() == 100
     assert set(parts) == {"sample", "head", "random", "null_rates", "lengths", "empty", "dates", "courts"}
     assert parts["sample"].count() == 100 and parts["random"].count() == 5
     assert parts["empty"].first().empty == 1

@@ -1,11 +1,13 @@
 """Every query with an SQL equivalent returns the same rows as DuckDB."""
 
+import os
+
 import pytest
 from compare import assert_same, connect
 
 import __spark_entry__ as contract
 
-SF_DIR = "/root/testdata/sf0.01"
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
 
 
