@@ -85,6 +85,17 @@ def test_exact_quantiles_equal_numpy(spark):
     assert abs(close[0] - expected[0]) <= 1
 
 
+def test_approx_quantiles_keep_their_rank_error(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(F.length("text").alias("n"))
+    lengths = np.sort([r.n for r in docs.collect()])
+    for accuracy in (100, 10_000):
+        got = audit.approx_quantiles(docs, F.col("n"), audit.AUDIT_QUANTILES, accuracy).first()[0]
+        for q, value in zip(audit.AUDIT_QUANTILES, got):
+            low, high = np.searchsorted(lengths, value, "left"), np.searchsorted(lengths, value, "right")
+            slack = len(lengths) / accuracy + 1
+            assert low - slack <= q * len(lengths) <= high + slack
+
+
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert audit.approx_quantiles(df, F.length("t"), [0.5]).first()[0] is None
