@@ -56,7 +56,9 @@ def split_bad_records(
     """Well-formed records and malformed ones, the latter as ``_corrupt_record`` text.
 
     ``strict`` takes records with too few or too many fields as malformed. ``pandas``
-    pads short records and takes only long ones as malformed.
+    pads short records and takes only long ones as malformed. To skip bad records use
+    the first frame, to warn about them count the second; `read_bulk_csv` with mode
+    ``FAILFAST`` stops at one. Each use of either frame parses the files again.
     """
     if policy not in ("strict", "pandas"):
         raise ValueError(f"unknown policy: {policy}")

@@ -151,6 +151,8 @@ def test_fail_fast_and_drop(spark, folder):
     with pytest.raises(Exception):
         read_bulk_csv(spark, path, schema=schema, mode="FAILFAST").collect()
     assert read_bulk_csv(spark, path, schema=schema, mode="DROPMALFORMED").collect() == [("1", "x")]
+    assert read_bulk_csv(spark, path, schema=schema, mode="DROPMALFORMED").select("id").collect() == [("1",)]
+    assert read_bulk_csv(spark, path, schema=schema, mode="DROPMALFORMED").count() == 1
 
 
 def test_etl_compacts(spark, folder):

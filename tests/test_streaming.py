@@ -80,6 +80,18 @@ def test_health_over_batches_equals_batch(spark, folder, log_files):
     assert spark.read.parquet(batch_path(folder + "-state", run, 0)).count() > 0
 
 
+def test_health_goes_on_after_a_stop(spark, folder, log_files):
+    part, state, progress = folder + "-part", folder + "-state", folder + "-progress"
+    for low, high in [(0, 1_400), (1_400, 3_000)]:
+        log_files.where((F.col("req_id") >= low) & (F.col("req_id") < high)).coalesce(1).write.mode("append").parquet(part)
+        stream = spark.readStream.schema(LOG).parquet(part)
+        query, run = health_stream(stream, "endpoint_id", ["ts", "req_id"], state, progress)
+        query.awaitTermination()
+    expected = endpoint_health(log_files, "endpoint_id", ["ts", "req_id"])
+    got = read_health(stream, "endpoint_id", state, run).select(expected.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_dedupe_keeps_one_row_per_key(spark, folder, log_files):
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 2).parquet(folder)
     out = folder + "-out"
