@@ -17,8 +17,8 @@ def with_doc_key(items: DataFrame, item: str = "item") -> DataFrame:
 
 
 def usable(items: DataFrame) -> DataFrame:
-    """Items that name both a number and a year; the others cannot be located."""
-    return items.where(F.col("number").isNotNull() & F.col("year").isNotNull())
+    """Items with a whole key; the others cannot be located."""
+    return items.dropna(subset=KEY)
 
 
 def first_per_key(items: DataFrame, order: list[str], key: list[str] = KEY) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.operators.rulings import KEY, first_per_key, usable, with_doc_key
+from corpuskit.session import materialise
 from corpuskit.sources.payloads import explode_items
 from corpuskit.streaming.state import open_store, read_store, run_name, write_batch
 
+LAYOUT = ["collection", "year"]
+
 
 def payload_stream(spark: SparkSession, src: str, files_per_batch: int | None = None) -> DataFrame:
     """Payload files as they land: path and text."""
@@ -24,16 +27,21 @@ def store_new_documents(
 ) -> StreamingQuery:
     """Adds documents whose key was never stored, with no limit on how far back that goes.
 
-    A restart reads all input again and still skips what earlier runs stored.
+    A restart reads all input again and still skips what earlier runs stored. The store
+    is laid out by collection and year, and only the years of a batch are looked up.
     """
     run, schema = run_name(restart), documents.schema
-    open_store(documents.sparkSession, store, run, schema)
+    open_store(documents.sparkSession, store, run, schema, LAYOUT)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        stored = read_store(batch.sparkSession, store, schema)
+        # Kept, because it is looked at twice and pages are slow to parse.
+        found = materialise(first_per_key(usable(batch), order), "batch")
+        # Years have the form 19xx or 20xx, so these are two hundred at most.
+        years = [row["year"] for row in found.select("year").distinct().collect()]
+        stored = read_store(batch.sparkSession, store, schema).where(F.col("year").isin(years))
         known = stored.where((F.col("run") != run) | (F.col("batch") < batch_id)).select(*KEY).distinct()
-        fresh = first_per_key(usable(batch), order).join(known, KEY, "left_anti")
-        write_batch(fresh, store, run, batch_id)
+        fresh = found.join(known, KEY, "left_anti")
+        write_batch(fresh, store, run, batch_id, LAYOUT)
 
     return (
         documents.writeStream.foreachBatch(store_batch)
@@ -48,15 +56,17 @@ def ingest_stream(
     checkpoint: str,
     restart: bool = False,
     files_per_batch: int | None = None,
+    collection: Column | None = None,
 ) -> StreamingQuery:
     """Reads pages that are new since the last run and stores their documents.
 
     Progress is kept per file, so pages that arrive in front of older ones shift nothing.
-    Items name their collection; the whole item is kept beside the key as JSON.
+    The collection is what the item names, or an expression over ``file`` and ``item``;
+    the whole item is kept beside the key as JSON.
     """
     items = with_doc_key(explode_items(payload_stream(spark, src, files_per_batch)))
+    named = F.try_element_at("item", F.lit("collection")) if collection is None else collection
     documents = items.select(
-        "file", "idx", F.upper(F.try_element_at("item", F.lit("collection"))).alias("collection"),
-        "year", "number", F.to_json("item").alias("metadata"),
+        "file", "idx", F.upper(named).alias("collection"), "year", "number", F.to_json("item").alias("metadata"),
     )
     return store_new_documents(documents, out, checkpoint, ["file", "idx"], restart)

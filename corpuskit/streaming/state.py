@@ -7,6 +7,7 @@ is run again after a failure replaces its own folder, so its effect is the same
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,13 +23,16 @@ def batch_path(root: str, run: str, batch_id: int) -> str:
     return f"{root}/run={run}/batch={batch_id}"
 
 
-def write_batch(df: DataFrame, root: str, run: str, batch_id: int) -> None:
-    df.write.mode("overwrite").option("compression", "zstd").parquet(batch_path(root, run, batch_id))
+def write_batch(df: DataFrame, root: str, run: str, batch_id: int, by: Sequence[str] = ()) -> None:
+    """Writes a batch, laid out by the columns ``by``; a full one of these gets several files."""
+    rows = df.hint("rebalance", *by) if by else df
+    writer = rows.write.mode("overwrite").option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(batch_path(root, run, batch_id))
 
 
-def open_store(spark: SparkSession, root: str, run: str, schema: StructType) -> None:
+def open_store(spark: SparkSession, root: str, run: str, schema: StructType, by: Sequence[str] = ()) -> None:
     """An empty batch in front of the first one, so that there is always one to read."""
-    write_batch(spark.createDataFrame([], schema), root, run, -1)
+    write_batch(spark.createDataFrame([], schema), root, run, -1, by)
 
 
 def read_store(spark: SparkSession, root: str, schema: StructType) -> DataFrame:

@@ -37,6 +37,21 @@ def test_ingest_resumes_by_file_and_key(spark, folder):
     assert stored(spark, out) == ["N1", "N2", "N3"]
 
 
+def test_store_is_laid_out_by_collection_and_year(spark, folder):
+    land(folder, "p1", ["N1"], "ny")
+    land(folder, "p2", ["H1"], "hq")
+    ingest_stream(spark, folder, folder + "-out", folder + "-progress").awaitTermination()
+    files = spark.read.parquet(folder + "-out").inputFiles()
+    assert any("/collection=NY/year=2001/" in f for f in files) and any("/collection=HQ/" in f for f in files)
+
+
+def test_collection_may_come_from_the_caller(spark, folder):
+    land(folder, "p1", ["N1"], None)
+    run = folder + "-progress"
+    ingest_stream(spark, folder, folder + "-out", run, collection=F.lit("ny")).awaitTermination()
+    assert spark.read.parquet(folder + "-out").first()["collection"] == "NY"
+
+
 def test_restart_reads_all_and_skips_stored(spark, folder):
     src, out, progress = folder, folder + "-out", folder + "-progress"
     land(src, "p1", ["N1"])
