@@ -216,7 +216,7 @@ ORACLE = {
     "bernoulli_sample": f"select doc_id, lang, n_chars from documents where {_HASH.format(42)} < 429496730",
     "bernoulli_sample_capped": f"""select doc_id, lang, n_chars from documents where {_HASH.format(42)} < 2147483648
         order by {_HASH.format(42)}, doc_id limit 100""",
-    "random_rows": """select doc_id, n_chars from documents where (select count(*) from documents) > 10
+    "random_rows": """select doc_id, n_chars from documents
         order by md5(concat('7:', doc_id)), doc_id limit 5""",
     "sample_report": f"select count(*) as scanned, count(*) filter (where {_HASH.format(42)} < 429496730) as sampled from documents",
     "sample_profile": with_views(f"""

@@ -1,9 +1,8 @@
 """Running totals within groups, however large a group is.
 
-A window over a group runs in one task per group. That is the cheapest way as long as
-every group fits one task, which is checked first. Beyond that, rows are cut into even
-ranges of (group, order), so that a group holding most rows spreads over many tasks;
-each range is totalled on its own and then shifted by what comes before it.
+A window over a group runs in one task per group. Here rows are cut into even ranges of
+(group, order), so that a group holding most rows spreads over many tasks; each range is
+totalled on its own and then shifted by what comes before it.
 """
 
 from __future__ import annotations
@@ -17,13 +16,6 @@ from pyspark.sql import functions as F
 from corpuskit.session import materialise
 
 PART = "_range"
-ROWS_PER_TASK = 2_000_000
-
-
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group; counts are folded before the shuffle."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def running_totals(
@@ -31,22 +23,13 @@ def running_totals(
     group: list[str],
     order: list[Column],
     measures: dict[str, Column],
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Adds inclusive running sums of ``measures`` per ``group`` in ``order``.
 
     ``order`` must be unique within a group. Pass narrow rows and join wide columns back on.
     """
     staged = df.select("*", *[value.cast("bigint").alias(name) for name, value in measures.items()])
-    if largest_group(df, group) <= rows_per_task:
-        in_group = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return staged.select(*df.columns, *[F.sum(name).over(in_group).alias(name) for name in measures])
-    return _ranged_totals(staged, df.columns, group, order, list(measures))
-
-
-def _ranged_totals(
-    staged: DataFrame, columns: list[str], group: list[str], order: list[Column], measures: list[str]
-) -> DataFrame:
+    columns, measures = df.columns, list(measures)
     # Range borders are sampled anew each time the plan runs; the written copy pins them.
     ranged = staged.repartitionByRange(*[F.col(c).asc() for c in group], *order)
     ranged = materialise(ranged.withColumn(PART, F.spark_partition_id()), "ranges")
@@ -71,20 +54,11 @@ def _ranged_totals(
 
 
 def row_numbers(
-    df: DataFrame,
-    group: list[str],
-    order: list[Column],
-    name: str = "row_no",
-    first: int | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
+    df: DataFrame, group: list[str], order: list[Column], name: str = "row_no", first: int | None = None
 ) -> DataFrame:
     """Adds the 1-based position of each row within its group; ``first`` keeps that many per group."""
-    kept = F.lit(True) if first is None else F.col(name) <= first
-    if first is not None and first <= int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        # Each task passes on that many rows per group at most, so no group gets large.
-        in_group = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(in_group)).where(kept)
-    return running_totals(df, group, order, {name: F.lit(1)}, rows_per_task).where(kept)
+    numbered = running_totals(df, group, order, {name: F.lit(1)})
+    return numbered if first is None else numbered.where(F.col(name) <= first)
 
 
 def assign_batches(df: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
@@ -99,7 +73,7 @@ def paged_listing(
     df: DataFrame, group: list[str], order: list[Column], size: int = 100, max_pages: int | None = None
 ) -> DataFrame:
     """Adds the 1-based ``page`` and the 0-based ``idx`` on it."""
-    at = F.col("_row_no").cast("bigint") - 1
+    at = F.col("_row_no") - 1
     first = size * max_pages if max_pages else None
     return row_numbers(df, group, order, "_row_no", first).select(
         *df.columns, (F.floor(at / size) + 1).alias("page"), (at % size).alias("idx")

@@ -11,7 +11,6 @@ from corpuskit.operators.ordered import row_numbers
 
 HASH_RANGE = 1 << 32
 CELL = 1 << 16
-HEAD_ROWS = 10
 
 
 def key_hash(key: Column, seed: int = 42) -> Column:
@@ -33,22 +32,22 @@ def is_sampled(key: Column, pct: float, seed: int = 42) -> Column:
 
 
 def bernoulli_sample(
-    df: DataFrame, key: str, pct: float = 2.5, cap: int | None = 1_500_000, seed: int = 42
+    df: DataFrame, key: str, pct: float = 2.5, cap: int | None = None, seed: int = 42
 ) -> DataFrame:
     """About ``pct`` percent of the rows by hash of a unique ``key``.
 
     Past ``cap`` rows the ones with the lowest hash stay, which is a uniform sample of
-    exactly ``cap`` rows. A sample that comes out empty is replaced by the first ten rows.
+    exactly ``cap`` rows. There is no cap unless one is given, and an empty sample stays empty.
     """
     hashed = df.withColumn("_hash", key_hash(F.col(key), seed)).where(F.col("_hash") < _threshold(pct))
+    if cap is None:
+        return hashed.drop("_hash")
     # At most 65,536 rows, whatever the size of the data.
     cells = (
         hashed.groupBy(F.floor(F.col("_hash") / CELL).alias("cell")).count().orderBy("cell").collect()
     )
     total = sum(row["count"] for row in cells)
-    if total == 0:
-        return df.orderBy(key).limit(HEAD_ROWS)
-    if not cap or total <= cap:
+    if total <= cap:
         return hashed.drop("_hash")
 
     kept = 0
@@ -65,10 +64,8 @@ def bernoulli_sample(
     return union_parts([below.drop("_hash"), chosen.drop("_hash", "_all", "_rank")])
 
 
-def random_rows(df: DataFrame, key: str, n: int = 5, salt: int = 7, more_than: int = 10) -> DataFrame:
-    """``n`` rows in random but repeatable order; none unless there are ``more_than`` rows."""
-    if df.limit(more_than + 1).count() <= more_than:
-        return df.limit(0)
+def random_rows(df: DataFrame, key: str, n: int = 5, salt: int = 7) -> DataFrame:
+    """``n`` rows in random but repeatable order, all rows if there are no more."""
     return df.orderBy(_digest(F.col(key), salt), key).limit(n)
 
 

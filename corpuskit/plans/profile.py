@@ -16,7 +16,7 @@ def run_profile(
     df: DataFrame,
     key: str = "id",
     pct: float = 2.5,
-    cap: int | None = 1_500_000,
+    cap: int | None = None,
     out: str | None = None,
     outfmt: str = "parquet",
 ) -> dict[str, DataFrame]:

@@ -40,9 +40,8 @@ def expected_totals(rows):
     return out
 
 
-@pytest.mark.parametrize("rows_per_task", [0, 10**9], ids=["ranges", "window"])
-def test_running_totals(spark, skewed, rows_per_task):
-    got = running_totals(skewed, ["g"], [F.asc("ts"), F.asc("id")], {"total": F.col("v")}, rows_per_task)
+def test_running_totals(spark, skewed):
+    got = running_totals(skewed, ["g"], [F.asc("ts"), F.asc("id")], {"total": F.col("v")})
     assert {r.id: r.total for r in got.collect()} == expected_totals(skewed.collect())
 
 
@@ -50,7 +49,7 @@ def test_hot_group_spreads_over_ranges(spark, skewed, monkeypatch):
     written = []
     real = ordered.materialise
     monkeypatch.setattr(ordered, "materialise", lambda df, label: written.append(real(df, label)) or written[-1])
-    running_totals(skewed, ["g"], [F.asc("ts"), F.asc("id")], {"total": F.col("v")}, 0).count()
+    running_totals(skewed, ["g"], [F.asc("ts"), F.asc("id")], {"total": F.col("v")}).count()
     sizes = [r["count"] for r in written[0].groupBy(ordered.PART).count().collect()]
     assert len(sizes) == 4 and max(sizes) < 15_000
     hot = written[0].where("g = 'hot'").select(ordered.PART).distinct().count()
@@ -58,19 +57,20 @@ def test_hot_group_spreads_over_ranges(spark, skewed, monkeypatch):
 
 
 def test_no_single_task_window(spark, skewed):
-    plan = running_totals(skewed, ["g"], [F.asc("id")], {"total": F.col("v")}, 0)._jdf.queryExecution().toString()
+    plan = running_totals(skewed, ["g"], [F.asc("id")], {"total": F.col("v")})._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("first", [None, 7, 5_000])
 def test_row_numbers(spark, skewed, first):
-    got = row_numbers(skewed, ["g"], [F.desc("ts"), F.asc("id")], "n", first, rows_per_task=0)
+    got = row_numbers(skewed, ["g"], [F.desc("ts"), F.asc("id")], "n", first)
     groups = defaultdict(list)
     for row in skewed.collect():
         groups[row.g].append((-row.ts, row.id))
     expected = {i: n for members in groups.values() for n, (_, i) in enumerate(sorted(members), 1)
                 if first is None or n <= first}
     assert {r.id: r.n for r in got.collect()} == expected
+    assert dict(got.dtypes)["n"] == "bigint"
 
 
 def test_batches_and_pages(spark):
@@ -84,4 +84,4 @@ def test_batches_and_pages(spark):
 
 
 def test_empty_input(spark, skewed):
-    assert running_totals(skewed.limit(0), ["g"], [F.asc("id")], {"t": F.lit(1)}, 0).count() == 0
+    assert running_totals(skewed.limit(0), ["g"], [F.asc("id")], {"t": F.lit(1)}).count() == 0
