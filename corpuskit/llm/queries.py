@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import exact_dedup, packing, warc
+from corpuskit.llm import exact_dedup, jaccard, language_id, mixing, packing, secrets, warc
 from corpuskit.session import scratch_path
 
 
@@ -20,6 +20,21 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(doc_id):
+    """Whether a document is kept from training: crc32 of the id as text, modulo 4, is 2."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def language_model(documents):
+    return language_id.fit_languages(documents.where(~held_out(F.col("doc_id"))))
+
+
+def op1_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = language_id.identify_languages(documents, language_model(documents))
+    return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_best_fit_packing(spark, sf_dir):
     packed = packing.pack(
         table(spark, sf_dir, "documents"), vocabulary(), keep={"ids_crc32": F.crc32("ids")})
@@ -31,6 +46,29 @@ def op4_exact_dedup(spark, sf_dir):
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id")
+
+
+def op7_mixing(spark, sf_dir):
+    """Weights follow the sizes of the sources to the power of 0.7, which lifts small sources."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), temper=0.7)
+    return mixed.select(F.col("id").alias("doc_id"), "source", "block", "release", "deadline", "slot", "exact", "before", "n_chars")
+
+
+def op9_secret_scan(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.scan_secrets(documents, secrets.fit_formats(documents))
+    text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS))
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(kind) for kind in secrets.KINDS],
+        F.sha2(F.concat_ws(",", F.transform(base, text)), 256).alias("base_sha256"),
+        F.concat_ws(",", F.transform("spans", text)).alias("spans"))
+
+
 def op10_warc(spark, sf_dir):
     folder = scratch_path(spark, "warc")
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), folder)
@@ -40,7 +78,8 @@ def op10_warc(spark, sf_dir):
         number("refers_to").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in [op3_best_fit_packing, op4_exact_dedup, op10_warc]}
+QUERIES = {f.__name__: f for f in [
+    op1_language_id, op3_best_fit_packing, op4_exact_dedup, op6_ngram_jaccard_join, op7_mixing, op9_secret_scan, op10_warc]}
 
 ORACLE = {
     "op4_exact_dedup": r"""
