@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Chosen once per application when the cluster names no shared folder (local mode only).
 _local_roots: dict[str, str] = {}
+# Copies written in the innermost ``temporary_copies`` block.
+_written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
 
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
@@ -54,5 +59,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if (block := _written.get()) is not None:
+        block.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._copy_path = path
+    return copy
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder from whatever store it is in; nothing happens if it is gone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary_copies(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the copies that ``materialise`` writes inside, when the block ends.
+
+    Those appended to the list stay, for results that are not computed yet read them; they belong to the
+    block around this one, if there is one.
+    """
+    kept: list[DataFrame] = []
+    outer = _written.get()
+    token = _written.set([])
+    try:
+        yield kept
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        written = _written.get()
+        _written.reset(token)
+        staying = {df._copy_path for df in kept}
+        for path in written:
+            if path not in staying:
+                delete_folder(spark, path)
+            elif outer is not None:
+                outer.append(path)
