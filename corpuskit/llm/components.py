@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskit.session import materialise
+from corpuskit.session import materialise, temporary_copies
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -38,7 +38,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.where("a <> b").select(a.alias("a"), b.alias("b")).distinct(), "links")
     seen = _signature(edges)
     while seen[0]:
-        edges = materialise(_small_star(materialise(_large_star(edges).distinct(), "links")), "links")
+        with temporary_copies(links.sparkSession) as kept:
+            edges = materialise(_small_star(materialise(_large_star(edges).distinct(), "links")), "links")
+            kept.append(edges)
         now = _signature(edges)
         if now == seen:
             break

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskit.llm import exact_dedup, jaccard, language_id, mixing, packing, secrets, warc
+from corpuskit.llm import (
+    embedding_dedup,
+    exact_dedup,
+    jaccard,
+    language_id,
+    license_scan,
+    mixing,
+    packing,
+    secret_scan,
+    suffix_dedup,
+    warc,
+)
 from corpuskit.session import scratch_path
 
 
@@ -35,6 +46,12 @@ def op1_language_id(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
 
 
+def op2_license_scan(spark, sf_dir):
+    """A row per document and license found."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op3_best_fit_packing(spark, sf_dir):
     packed = packing.pack(
         table(spark, sf_dir, "documents"), vocabulary(), keep={"ids_crc32": F.crc32("ids")})
@@ -46,6 +63,10 @@ def op4_exact_dedup(spark, sf_dir):
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.link_embeddings(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id")
@@ -57,14 +78,21 @@ def op7_mixing(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "source", "block", "release", "deadline", "slot", "exact", "before", "n_chars")
 
 
+def op8_suffix_array_dedup(spark, sf_dir):
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", F.expr("n_bytes - octet_length(kept)").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secret_scan(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    found = secrets.scan_secrets(documents, secrets.fit_formats(documents))
+    found = secret_scan.scan_secrets(documents, secret_scan.fit_formats(documents))
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.KINDS))
     return found.select(
-        F.col("id").alias("doc_id"), *[count(kind) for kind in secrets.KINDS],
+        F.col("id").alias("doc_id"), *[count(kind) for kind in secret_scan.KINDS],
         F.sha2(F.concat_ws(",", F.transform(base, text)), 256).alias("base_sha256"),
         F.concat_ws(",", F.transform("spans", text)).alias("spans"))
 
@@ -79,7 +107,8 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    op1_language_id, op3_best_fit_packing, op4_exact_dedup, op6_ngram_jaccard_join, op7_mixing, op9_secret_scan, op10_warc]}
+    op1_language_id, op2_license_scan, op3_best_fit_packing, op4_exact_dedup, op5_embedding_near_dedup,
+    op6_ngram_jaccard_join, op7_mixing, op8_suffix_array_dedup, op9_secret_scan, op10_warc]}
 
 ORACLE = {
     "op4_exact_dedup": r"""

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from corpuskit.llm import secrets
+from corpuskit.llm import secret_scan as secrets
 from corpuskit.llm.queries import op9_secret_scan, table
 
 SF_DIR = "/root/testdata/sf0.01"
