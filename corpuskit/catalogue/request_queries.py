@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuskit.catalogue.views import view, with_views
+from corpuskit.catalogue.views import table, view, with_views
 from corpuskit.functions.requests import classify_status, is_final
 from corpuskit.functions.requests import mask_credentials as masked
 from corpuskit.functions.text import is_valid_email
@@ -13,6 +13,10 @@ from corpuskit.operators.ordered import assign_batches
 from corpuskit.sources import endpoints
 
 ORDER = ["ts", "req_id"]
+ODD_ENDPOINTS = """select c_custkey as line_no,
+    case c_custkey % 4 when 0 then 'http://u:' when 1 then 'socks5://:' when 2 then 'u@mail.example:' else 'https://u:' end as front,
+    concat('s3', c_custkey, case c_custkey % 3 when 0 then '@x' when 1 then ':y' else '@z:@' end) as secret,
+    concat('@h', c_custkey, ':80/p@q:r') as rear from customer"""
 
 
 def request_classes(spark, sf_dir):
@@ -51,8 +55,15 @@ def mask_credentials(spark, sf_dir):
 
 
 def mask_credentials_http(spark, sf_dir):
-    lines = endpoints.normalise_endpoints(view(spark, sf_dir, "endpoints")).where("valid")
-    return lines.select("line_no", masked(F.col("endpoint"), any_scheme=False).alias("shown"))
+    lines = endpoints.normalise_endpoints(view(spark, sf_dir, "endpoints")).where("valid and endpoint rlike '^https?://'")
+    return lines.select("line_no", masked(F.col("endpoint")).alias("shown"))
+
+
+def mask_odd_credentials(spark, sf_dir):
+    """Passwords with ``@`` and ``:`` in them, users without a name or with ``@``, and any scheme."""
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    shown = masked(F.concat("front", "secret", "rear"))
+    return spark.sql(ODD_ENDPOINTS).select("line_no", shown.alias("shown"), F.contains(shown, F.col("secret")).alias("leaks"))
 
 
 def valid_emails(spark, sf_dir):
@@ -61,7 +72,7 @@ def valid_emails(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in [
     request_classes, outcome_summary, outcome_by_endpoint, throttle_streaks, endpoint_health, work_batches,
-    normalise_endpoints, mask_credentials, mask_credentials_http, valid_emails,
+    normalise_endpoints, mask_credentials, mask_credentials_http, mask_odd_credentials, valid_emails,
 ]}
 
 _OUTCOMES = """count(*) as total, count(*) filter (where status = 200) as ok,
@@ -107,11 +118,11 @@ ORACLE = {
     "normalise_endpoints": with_views(
         f"select line_no, line, endpoint, endpoint is not null as valid from ({_LINES})", "endpoints"),
     "mask_credentials": with_views(rf"""
-        select line_no, regexp_replace(endpoint, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^:/@]+):([^@]+)@(.+)$', '\1\2:****@\4') as shown
-        from ({_LINES}) where endpoint is not null""", "endpoints"),
+        select line_no, replace(endpoint, 's3cret', '****') as shown from ({_LINES}) where endpoint is not null""", "endpoints"),
     "mask_credentials_http": with_views(rf"""
-        select line_no, regexp_replace(endpoint, '^(https?://)?([^:/@]+):([^@]+)@(.+)$', '\1\2:****@\4') as shown
-        from ({_LINES}) where endpoint is not null""", "endpoints"),
+        select line_no, replace(endpoint, 's3cret', '****') as shown
+        from ({_LINES}) where starts_with(endpoint, 'http')""", "endpoints"),
+    "mask_odd_credentials": f"select line_no, concat(front, '****', rear) as shown, false as leaks from ({ODD_ENDPOINTS})",
     "valid_emails": with_views(
         r"select signup_id, regexp_matches(email, '^[a-zA-Z0-9._-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,4}\z') as valid from waitlist",
         "waitlist"),

@@ -44,11 +44,9 @@ def normalise_endpoint(line: Column) -> Column:
     )
 
 
-def mask_credentials(url: Column, any_scheme: bool = True) -> Column:
-    """Hide the password of ``scheme://user:password@host``.
+def mask_credentials(url: Column) -> Column:
+    """Hide the password of ``scheme://user:password@host``, with or without scheme and user.
 
-    ``any_scheme=False`` knows http and https only, so another scheme's name is taken
-    for the user and the real user disappears together with the password.
+    The password ends at the last ``@`` before the first slash of the address, for it may hold ``@`` and ``:`` itself.
     """
-    scheme = "[A-Za-z][A-Za-z0-9+.-]*://" if any_scheme else "https?://"
-    return F.regexp_replace(url, rf"^({scheme})?([^:/@]+):([^@]+)@(.+)$", "$1$2:****@$4")
+    return F.regexp_replace(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)?([^:/]*):([^/]+)@", "$1$2:****@")

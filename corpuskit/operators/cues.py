@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.functions.text import restore_breaks
@@ -14,13 +16,19 @@ def cue_counts(cues: DataFrame, file: str = "file_id") -> DataFrame:
     return cues.groupBy(file).agg(F.count(F.lit(1)).alias("cues"))
 
 
-def reassemble(cues: DataFrame, translated: DataFrame, key: Sequence[str] = ("file_id", "cue_no")) -> DataFrame:
-    """Cues with their translated text, broken into lines where the original had breaks.
+def same_place(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
+    return reduce(and_, [left[k].eqNullSafe(right[k]) for k in key])
 
-    The whole position is the join key, so a long file spreads over many tasks.
+
+def reassemble(cues: DataFrame, translated: DataFrame, key: Sequence[str] = ("file_id", "position")) -> DataFrame:
+    """Cues with their translated text, broken into lines where the original had breaks, and ``answered``.
+
+    ``key`` is the place of a cue, not its number, which files repeat or leave out. The whole place is the join
+    key, so a long file spreads over many tasks. A cue without a translation keeps its text; ``translated``
+    must have at most one row per place.
     """
-    texts = translated.select(*key, F.col("translated"))
-    return cues.join(texts, list(key)).select(
-        *[restore_breaks(F.col("translated"), F.col("text")).alias("text") if c == "text" else F.col(c)
-          for c in cues.columns]
-    )
+    texts = translated.select(*key, F.col("translated").alias("_translated"))
+    answered = F.col("_translated").isNotNull()
+    text = F.when(answered, restore_breaks(F.col("_translated"), cues["text"])).otherwise(cues["text"])
+    return cues.join(texts, same_place(cues, texts, key), "left").select(
+        *[text.alias("text") if c == "text" else cues[c] for c in cues.columns], answered.alias("answered"))

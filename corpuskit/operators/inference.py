@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -21,24 +21,28 @@ def map_text_batches(
 ) -> DataFrame:
     """Adds ``output``: the model's answer to each text, asked ``batch_size`` texts at a time.
 
-    The model is built once per task and rows stream through it in Arrow batches. Small
-    files make few tasks, so ``parallelism`` spreads rows out before a slow model.
-    A null text stays null and is not shown to the model.
+    The model is built once per task and rows stream through it in Arrow batches, whose other
+    columns are passed on as they are. Small files make few tasks, so ``parallelism`` spreads rows
+    out before a slow model. A null text stays null and is not shown to the model.
     """
     schema = StructType([*df.schema.fields, StructField(output, StringType())])
 
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    place = df.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_factory()
-        for frame in frames:
-            asked = frame[text].dropna()
-            answers: list[str] = []
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            asked = [i for i, t in enumerate(texts) if t is not None]
+            answers: list[str | None] = [None] * len(texts)
             for at in range(0, len(asked), batch_size):
-                answers += model(asked.iloc[at:at + batch_size].tolist())
-            frame[output] = pd.Series(answers, index=asked.index, dtype=object).reindex(frame.index)
-            yield frame
+                part = asked[at:at + batch_size]
+                for i, answer in zip(part, model([texts[i] for i in part]), strict=True):
+                    answers[i] = answer
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=schema.names)
 
     rows = df.repartition(parallelism) if parallelism else df
-    return rows.mapInPandas(apply, schema)
+    return rows.mapInArrow(apply, schema)
 
 
 def glossary_model(terms: dict[str, str]) -> Callable[[], TextModel]:

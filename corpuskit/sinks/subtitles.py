@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CUES_PER_CHUNK = 100_000
-
 
 def _clock(ms: Column) -> Column:
     return F.format_string(
@@ -24,22 +22,24 @@ def cue_block(cue_no: Column, start_ms: Column, end_ms: Column, text: Column) ->
     return F.format_string("%s\n%s --> %s\n%s\n", cue_no, _clock(start_ms), _clock(end_ms), lines)
 
 
-def write_subtitles(cues: DataFrame, path: str, line_end: str = "\n") -> None:
-    """One folder per ``file_id``, UTF-8, cues in order.
+def write_subtitles(
+    cues: DataFrame, path: str, line_end: str = "\n", order: str = "cue_no", cues_per_part: int | None = None
+) -> None:
+    """One folder per ``file_id``, UTF-8, cues in the given order; a cue without number gets its place, if that is known.
 
-    Rows stream to the writer one cue at a time, so no file has to fit in memory. A file
-    is one part unless it has more than a hundred thousand cues; then its parts, in name
-    order, make up the whole.
+    Rows stream to the writer one cue at a time, so no file has to fit in memory. A file is one
+    part. With ``cues_per_part`` a longer file has several, which make up the whole in the order of their names.
     """
-    block = cue_block(F.col("cue_no"), F.col("start_ms"), F.col("end_ms"), F.col("text"))
+    number = F.coalesce("cue_no", F.col(order) + 1) if order != "cue_no" else F.col("cue_no")
+    block = cue_block(number, F.col("start_ms"), F.col("end_ms"), F.col("text"))
     if line_end != "\n":
         block = F.replace(block, F.lit("\n"), F.lit(line_end))
-    # Opening files costs more than their few kilobytes, so the tasks are not merged by size.
-    tasks = int(cues.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if cues_per_part:
+        parts = cues.withColumn("_part", F.floor(F.col(order) / cues_per_part)).repartitionByRange("file_id", "_part")
+    else:
+        parts = cues.repartition("file_id")
     (
-        cues.withColumn("_chunk", F.floor(F.col("cue_no") / CUES_PER_CHUNK))
-        .repartitionByRange(tasks, "file_id", "_chunk")
-        .sortWithinPartitions("file_id", "cue_no")
+        parts.sortWithinPartitions("file_id", order)
         .select("file_id", block.alias("value"))
         .write.mode("overwrite").partitionBy("file_id").option("lineSep", line_end).text(path)
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -10,7 +14,8 @@ from corpuskit.functions.columns import quoted
 
 ESCAPE = {"doubled": '"', "backslash": "\\"}
 CORRUPT = "_corrupt_record"
-SURPLUS = "_surplus"
+# A field no file holds, for which a record is read a second time.
+END_FIELD = "\x1e_end_of_record_\x1e"
 
 
 def csv_options(dialect: str, null_value: str | None = None) -> dict[str, str]:
@@ -56,33 +61,49 @@ def split_bad_records(
     """Well-formed records and malformed ones, the latter as ``_corrupt_record`` text.
 
     ``strict`` takes records with too few or too many fields as malformed. ``pandas``
-    pads short records and takes only long ones as malformed. To skip bad records use
-    the first frame, to warn about them count the second; `read_bulk_csv` with mode
-    ``FAILFAST`` stops at one. Each use of either frame parses the files again.
+    pads short records and takes only long ones as malformed, whatever their surplus fields
+    hold. To skip bad records use the first frame; `read_checked_csv` warns or stops.
+    Each use of either frame parses the files again.
     """
     if policy not in ("strict", "pandas"):
         raise ValueError(f"unknown policy: {policy}")
-    extra = [SURPLUS] if policy == "pandas" else []
-    widened = StructType([*schema.fields, *string_schema([*extra, CORRUPT]).fields])
     rows = (
         spark.read.options(**csv_options(dialect, null_value))
         .option("header", header)
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("enforceSchema", "true")
-        .schema(widened)
+        .schema(StructType([*schema.fields, *string_schema([CORRUPT]).fields]))
         .csv(path)
     )
-    if policy == "strict":
-        # The reader refuses queries that touch nothing but the corrupt text, such as a count
-        # of either side; an empty piece of a data column keeps them valid.
-        bad = F.concat_ws("", F.substring(F.col(quoted(schema.names[0])), 1, 0), CORRUPT) != ""
-    else:
-        # With one column too many declared, every sound record is one field short and
-        # thus marked; a record with exactly one surplus field is the one that is not.
-        bad = F.col(SURPLUS).isNotNull() | F.col(CORRUPT).isNull()
+    # The reader refuses queries that touch nothing but the corrupt text, such as a count
+    # of either side; an empty piece of a data column keeps them valid.
+    odd = F.concat_ws("", F.substring(F.col(quoted(schema.names[0])), 1, 0), CORRUPT) != ""
     text = [F.col(quoted(name)) for name in schema.names]
+    sound, uneven = rows.where(~odd).select(*text), rows.where(odd).select(*text, CORRUPT)
     if policy == "strict":
-        return rows.where(~bad).select(*text), rows.where(bad).select(*text, CORRUPT)
-    # A record with one surplus field parsed cleanly, so its text is put together again.
-    rebuilt = F.coalesce(CORRUPT, F.concat_ws(",", *text, SURPLUS))
-    return rows.where(~bad).select(*text), rows.where(bad).select(*text, rebuilt.alias(CORRUPT))
+        return sound, uneven
+    # With one more field at its end a short record has that field in a declared column, a long one has not.
+    options = {k: v for k, v in csv_options(dialect, null_value).items() if k != "multiLine"}
+    again = F.from_csv(F.concat(CORRUPT, F.lit(f",{END_FIELD}")), ", ".join(f"{quoted(n)} string" for n in schema.names), options)
+    parsed = uneven.withColumn("_again", again)
+    values = [F.col("_again").getField(name) for name in schema.names]
+    short = reduce(or_, [F.coalesce(v == END_FIELD, F.lit(False)) for v in values])
+    padded = parsed.where(short).select(*[F.nullif(v, F.lit(END_FIELD)).alias(n) for v, n in zip(values, schema.names)])
+    return sound.unionByName(padded), parsed.where(~short).select(*text, CORRUPT)
+
+
+def read_checked_csv(
+    spark: SparkSession, path: str, schema: StructType, on_bad: str = "skip", policy: str = "strict", **how
+) -> DataFrame:
+    """The well-formed records. Bad ones are left out (``skip``), told of (``warn``) or refused (``fail``).
+
+    The last two read the files once more, to count the bad records.
+    """
+    if on_bad not in ("skip", "warn", "fail"):
+        raise ValueError(f"unknown answer to bad records: {on_bad}")
+    good, bad = split_bad_records(spark, path, schema, policy, **how)
+    if on_bad != "skip" and (n := bad.count()):
+        if on_bad == "fail":
+            raise ValueError(f"{n} malformed records in {path}")
+        warnings.warn(f"{n} malformed records in {path} are left out", stacklevel=2)
+    return good

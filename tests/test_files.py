@@ -11,9 +11,9 @@ from corpuskit.plans.etl import EtlOptions, run_etl
 from corpuskit.sinks import tables
 from corpuskit.sinks.subtitles import write_subtitles
 from corpuskit.sources import files, split_csv
-from corpuskit.sources.bulk_csv import read_bulk_csv, split_bad_records, string_schema
+from corpuskit.sources.bulk_csv import read_bulk_csv, read_checked_csv, split_bad_records, string_schema
 from corpuskit.sources.split_csv import read_split_csv
-from corpuskit.sources.subtitles import read_subtitles
+from corpuskit.sources.subtitles import read_subtitles, split_subtitles
 
 NULL = "\\N"
 
@@ -131,14 +131,20 @@ def test_bz2_needs_no_unzip(spark, folder):
 def test_bad_record_policies(spark, folder):
     path = folder + "/bad.csv"
     with open(path, "w") as f:
-        f.write('id,a,b\n1,x,"y\nz"\n2,short\n3,x,y,long\n4,x,y,very,long\n5,x,y\n')
+        f.write('id,a,b\n1,x,"y\nz"\n2,short\n3,x,y,long\n4,x,y,very,long\n5,x,y\n6,x,y,,lost\n7,x,y,\n8,"open\nx",,,\n9\n')
     schema = string_schema(["id", "a", "b"])
     good, bad = split_bad_records(spark, path, schema, "strict")
-    assert [r.id for r in good.collect()] == ["1", "5"] and sorted(r.id for r in bad.collect()) == ["2", "3", "4"]
+    assert [r.id for r in good.collect()] == ["1", "5"] and sorted(r.id for r in bad.collect()) == ["2", "3", "4", "6", "7", "8", "9"]
     good, bad = split_bad_records(spark, path, schema, "pandas")
-    assert [tuple(r) for r in good.collect()] == [("1", "x", "y\nz"), ("2", "short", None), ("5", "x", "y")]
-    assert good.count() == 3 and bad.count() == 2
-    assert {r.id: r["_corrupt_record"] for r in bad.collect()} == {"3": "3,x,y,long", "4": "4,x,y,very,long"}
+    assert sorted(tuple(r) for r in good.collect()) == [("1", "x", "y\nz"), ("2", "short", None), ("5", "x", "y"), ("9", None, None)]
+    assert good.count() == 4 and bad.count() == 5
+    assert {r.id: r["_corrupt_record"] for r in bad.collect()} == {
+        "3": "3,x,y,long", "4": "4,x,y,very,long", "6": "6,x,y,,lost", "7": "7,x,y,", "8": '8,"open\nx",,,'}
+    assert read_checked_csv(spark, path, schema).count() == 2
+    with pytest.warns(UserWarning, match="5 malformed"):
+        assert read_checked_csv(spark, path, schema, "warn", "pandas").count() == 4
+    with pytest.raises(ValueError, match="7 malformed"):
+        read_checked_csv(spark, path, schema, "fail")
     with pytest.raises(ValueError):
         split_bad_records(spark, path, schema, "lenient")
 
@@ -206,7 +212,16 @@ def test_subtitle_encodings(spark, folder):
     rows = read_subtitles(spark, folder).collect()
     for name in variants:
         cues = sorted(tuple(r)[1:] for r in rows if r.file.endswith(name))
-        assert cues == [(1, 1500, 2000, "Café\nnoir"), (2, 3723004, 3724000, "adiós")], name
+        assert cues == [(0, 1, 1500, 2000, "Café\nnoir"), (1, 2, 3723004, 3724000, "adiós")], name
+
+
+def test_subtitle_blocks_that_are_no_cues(spark, folder):
+    whole = "no number\n\n1\n00:00:01,000 --> 00:00:02,000\na\rb\n\n00:00:01,000 --> 00:00:02,000\nc\n\n1\n00:00:03,000 --> 00:00:04,000\nd\n\n"
+    with open(f"{folder}/odd.srt", "wb") as f:
+        f.write(whole.encode())
+    cues, rejected = split_subtitles(spark, folder)
+    assert [(r.position, r.cue_no, r.text) for r in cues.orderBy("position").collect()] == [(1, 1, "a\rb"), (3, 1, "d")]
+    assert sorted(r.position for r in rejected.collect()) == [0, 2]
 
 
 def test_subtitle_files_are_whole_and_ordered(spark, folder):

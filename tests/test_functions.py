@@ -86,10 +86,11 @@ def test_status_classes(spark):
 
 
 def test_masking_leaves_no_secret(spark):
-    given = ["http://u:s3cret@h:1", "socks5://u:s3cret@h:1", "u:s3cret@h", "http://h:80", "https://u:p:w@h"]
+    given = ["http://u:s3cret@h:1", "socks5://u:s3cret@h:1", "u:s3cret@h", "http://h:80", "https://u:p:w@h", "http://u:p@ss@h:80",
+             "http://:p@h", "me@mail:p@h/x@y", "h:80", "http://h/a:b@c"]
     assert values(spark, requests.mask_credentials(F.col("c")), given) == [
-        "http://u:****@h:1", "socks5://u:****@h:1", "u:****@h", "http://h:80", "https://u:****@h"]
-    assert values(spark, requests.mask_credentials(F.col("c"), any_scheme=False), given[1:2]) == ["socks5:****@h:1"]
+        "http://u:****@h:1", "socks5://u:****@h:1", "u:****@h", "http://h:80", "https://u:****@h", "http://u:****@h:80",
+        "http://:****@h", "me@mail:****@h/x@y", "h:80", "http://h/a:b@c"]
 
 
 def test_endpoint_notations(spark):
