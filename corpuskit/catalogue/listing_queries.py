@@ -10,7 +10,7 @@ from corpuskit.operators import rulings
 from corpuskit.operators.ordered import paged_listing as paged
 from corpuskit.plans.backlog import run_backlog
 from corpuskit.session import scratch_path
-from corpuskit.sources.payloads import explode_items, read_search_payloads
+from corpuskit.sources.payloads import bad_items, explode_items, read_search_payloads
 
 BASE_URL = "https://rulings.example.org/getdoc"
 PAGE_SIZE = 100
@@ -46,6 +46,19 @@ def payload_items(spark, sf_dir):
         "page_no", "idx", F.col("item")["item_id"].cast("bigint").alias("item_id"), F.col("item")["title"].alias("title"))
 
 
+def odd_payload_items(spark, sf_dir):
+    """Good items and the rest, over pages that are cut off, have no list, or hold items that are no objects."""
+    base = view(spark, sf_dir, "ruling_items").select("page_no", "item_id")
+    one = F.to_json(F.struct("item_id"))
+    page = (F.when(F.col("item_id") % 5 == 0, F.concat(F.lit('{"rulings":['), one, F.lit(",7]}")))
+            .when(F.col("item_id") % 5 == 1, F.concat(F.lit('{"rulings":['), one))
+            .when(F.col("item_id") % 5 == 2, F.concat(F.lit('{"total":'), F.col("item_id"), F.lit("}")))
+            .otherwise(F.concat(F.lit('{"note":"[{}]","hits":['), one, F.lit("]}"))))
+    pages = base.select("item_id", page.alias("payload"))
+    good = explode_items(pages).select("item_id", "idx", F.lit(False).alias("bad"))
+    return good.unionByName(bad_items(pages).select("item_id", "idx", F.lit(True).alias("bad")))
+
+
 def payload_page_totals(spark, sf_dir):
     return payloads(spark, sf_dir).select(
         "page_no", payload_totals(parse_payload(F.col("payload")), PAGE_SIZE).alias("t")).select("page_no", "t.*")
@@ -101,7 +114,7 @@ def harvest_progress(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    payload_items, payload_page_totals, doc_keys, landed_doc_keys, doc_locations, paged_listing,
+    payload_items, odd_payload_items, payload_page_totals, doc_keys, landed_doc_keys, doc_locations, paged_listing,
     paged_listing_limited, pending_documents, backlog, metadata_coverage, harvest_progress,
 ]}
 
@@ -118,6 +131,10 @@ ORACLE = {
     "payload_items": with_views("""
         select page_no, cast(row_number() over (partition by page_no order by item_id) - 1 as int) as idx, item_id, title
         from ruling_items""", "ruling_items"),
+    "odd_payload_items": with_views("""
+        select item_id, cast(0 as int) as idx, false as bad from ruling_items where item_id % 5 in (0, 3, 4)
+        union all select item_id, cast(1 as int), true from ruling_items where item_id % 5 = 0
+        union all select item_id, null, true from ruling_items where item_id % 5 in (1, 2)""", "ruling_items"),
     "payload_page_totals": with_views("""
         select page_no, case when page_no % 3 = 1 then 7 else cast(ceil(n / 100.0) as bigint) end as total_pages,
           case when page_no % 3 = 1 then null else n end as total_results

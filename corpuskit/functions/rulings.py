@@ -18,29 +18,38 @@ YEAR_PATTERN = r"\b(20\d{2}|19\d{2})\b"
 
 
 def parse_payload(json: Column) -> Column:
-    """Payload text to ``map<string,variant>``: keeps key order and value types."""
-    return F.from_json(json, "map<string,variant>")
+    """Payload to ``struct<text, value>``: its values as texts, nested ones as compact JSON with their keys in order, and
+    as variants, which tell a list from a text that looks like one. Both are null where the payload is no object."""
+    return F.struct(F.from_json(json, "map<string,string>").alias("text"), F.from_json(json, "map<string,variant>").alias("value"))
 
 
-def payload_items(payload: Column) -> Column:
-    """Items of a parsed payload as ``array<map<string,string>>``; null when it has none.
+def raw_items(payload: Column) -> Column:
+    """Items of a parsed payload as texts; null when it has none.
 
     A list under a known key wins; otherwise the first value, in document order, that
     is an empty list or a list starting with an object.
     """
-    def is_list(value: Column) -> Column:
-        return F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+    text, value = payload["text"], payload["value"]
+
+    def is_list(key: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_element_at(value, key)).startswith("ARRAY"), F.lit(False))
+
+    def holds_objects(key: Column) -> Column:
+        return is_list(key) & F.try_element_at(text, key).rlike(r"^\s*\[\s*[\]{]")
+
+    known = [F.when(is_list(F.lit(key)), F.try_element_at(text, F.lit(key))) for key in ITEM_KEYS]
+    other = F.try_element_at(text, F.get(F.filter(F.map_keys(text), holds_objects), F.lit(0)))
+    return F.from_json(F.coalesce(*known, other), "array<string>")
 
-    def holds_objects(value: Column) -> Column:
-        first = F.try_variant_get(value, "$[0]", "variant")
-        return is_list(value) & (
-            (F.to_json(value) == "[]") | F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False))
-        )
 
-    known = [F.when(is_list(F.try_element_at(payload, F.lit(key))), F.try_element_at(payload, F.lit(key)))
-             for key in ITEM_KEYS]
-    other = F.get(F.filter(F.map_values(payload), holds_objects), F.lit(0))
-    return F.from_json(F.to_json(F.coalesce(*known, other)), "array<map<string,string>>")
+def parse_item(raw: Column) -> Column:
+    """An item's text as ``map<string,string>``; null where it is no object."""
+    return F.when(raw.rlike(r"^\s*\{"), F.from_json(raw, "map<string,string>"))
+
+
+def payload_items(payload: Column) -> Column:
+    """Items of a parsed payload as ``array<map<string,string>>``, without those that are no objects; null when it has none."""
+    return F.filter(F.transform(raw_items(payload), parse_item), lambda item: item.isNotNull())
 
 
 def payload_totals(payload: Column, page_size: int = 100) -> Column:
@@ -49,7 +58,7 @@ def payload_totals(payload: Column, page_size: int = 100) -> Column:
     Pages are worked out from the hits when the payload does not state them.
     """
     def number(key: str) -> Column:
-        return F.try_variant_get(F.try_element_at(payload, F.lit(key)), "$", "bigint")
+        return F.try_element_at(payload["text"], F.lit(key)).try_cast("double").try_cast("bigint")
 
     def first_non_zero(keys: list[str]) -> Column:
         *preferred, last = [number(key) for key in keys]

@@ -6,6 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from corpuskit.functions import columns, dates, requests, rulings, text
+from corpuskit.sources.payloads import bad_items, explode_items
 
 
 def values(spark, column, rows, schema="c string"):
@@ -123,6 +124,21 @@ def test_bad_json_has_no_items(spark):
     assert values(spark, rulings.payload_items(rulings.parse_payload(F.col("c"))), ["{bad", "", None]) == [None] * 3
 
 
+def test_items_keep_their_order_and_texts(spark):
+    """Keys keep their order; white space and trailing zeros of numbers are lost to every JSON function there is."""
+    page = '{"rulings": [{"n": 1.50, "t": {"z": 1, "a": [2 , 3]}, "s": "x"}, 7, null, {"n": 2}]}'
+    (items,) = values(spark, rulings.payload_items(rulings.parse_payload(F.col("c"))), [page])
+    assert [dict(i) for i in items] == [{"n": "1.5", "t": '{"z":1,"a":[2,3]}', "s": "x"}, {"n": "2"}]
+
+
+def test_what_is_no_item_is_reported(spark):
+    pages = ['{"rulings": [{"n": 1}, 7, "x"]}', '{"total": 1}', "{cut off", "", '[{"n": 1}]', '{"results": []}']
+    df = spark.createDataFrame(list(enumerate(pages)), "page int, payload string")
+    assert [(r.page, r.idx) for r in explode_items(df).collect()] == [(0, 0)]
+    got = sorted(((r.page, r.idx, r.raw) for r in bad_items(df).collect()), key=repr)
+    assert got == sorted([(0, 1, "7"), (0, 2, "x"), *[(i, None, pages[i]) for i in (1, 2, 3, 4)]], key=repr)
+
+
 def test_payload_totals(spark):
     given = [
         {"totalPages": 4, "totalResults": 301}, {"totalPages": 0, "total_pages": 2}, {"total": "250"},
