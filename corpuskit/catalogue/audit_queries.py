@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from corpuskit.catalogue.views import table, view, with_views
+from corpuskit.functions.columns import EXPECTED_COLUMNS
 from corpuskit.functions.dates import parse_date_or_null
 from corpuskit.functions.text import is_nullish, length_bucket, text_length
 from corpuskit.operators import audit, profile, sample
@@ -83,7 +84,8 @@ def top_types(spark, sf_dir):
 
 
 def audit_summary(spark, sf_dir):
-    return audit.audit_summary(view(spark, sf_dir, "opinions"))
+    """The whole report, a row per figure."""
+    return audit.audit_figures(audit.audit_summary(view(spark, sf_dir, "opinions")))
 
 
 def audit_summary_flat(spark, sf_dir):
@@ -159,7 +161,43 @@ def _top(column: str, where: str = "") -> str:
         order by row_count desc, value asc nulls last limit 10""", "opinions")
 
 
+# Expected columns that the view lacks.
+_MISSING = [c for c in EXPECTED_COLUMNS if c not in _OPINION_COLUMNS]
+
+
+def _figures(part, name, rank, key, value, rest) -> str:
+    return f"""select '{part}' as part, '{name}' as name, cast({rank} as int) as rank, cast({key} as varchar) as key,
+        cast({value} as varchar) as value {rest}"""
+
+
+def _report() -> str:
+    both = f'{_NULLISH["plain_text"]} and {_NULLISH["html_with_citations"]}'
+    parts = [_figures("rows", "", 0, "null", "count(*)", "from opinions"),
+             _figures("missing", "all", 0, "null", f"count(*) filter (where {both})", "from opinions"),
+             "select 'missing_columns', '', cast(i - 1 as int), null, c from (select unnest(["
+             + ", ".join(f"'{c}'" for c in _MISSING) + "]) as c, generate_subscripts([" + ", ".join(f"'{c}'" for c in _MISSING) + "], 1) as i)"]
+    for c in TEXTS:
+        bucket = _NULL_BUCKET.replace("plain_text", c)
+        dirty = f"regexp_matches({c}, '{CONTROL}')"
+        snippet = f"regexp_extract({c}, '(.*)', 0)"
+        parts += [
+            _figures("missing", c, 0, "null", f"count(*) filter (where {_NULLISH[c]})", "from opinions"),
+            _figures("control", c, 0, "null", f"count(*) filter (where {dirty})", "from opinions"),
+            *[_figures("quantiles", c, 0, f"'{q}'", f"quantile_disc(length({c}), {p})", "from opinions")
+              for q, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p99_9", 0.999))],
+            _figures("buckets", c, 0, bucket, "count(*)", f"from opinions group by {bucket}"),
+            f"""select * from ({_figures("longest", c, f"row_number() over (order by length({c}) desc nulls last, id) - 1", "id", f"length({c})", "from opinions")}) where rank < 5""",
+            f"""select * from ({_figures("examples", c, "row_number() over (order by id) - 1", "id",
+                f"case when length({snippet}) > 200 then concat(substr({snippet}, 1, 200), '…') else {snippet} end",
+                f"from opinions where {dirty}")}) where rank < 5""",
+        ]
+    for c in ("type", "precedential_status"):
+        parts.append(f"""select * from ({_figures("top", c, f"row_number() over (order by count(*) desc, {c} asc nulls last) - 1", c, "count(*)", f"from opinions group by {c}")}) where rank < 10""")
+    return " union all ".join(parts)
+
+
 ORACLE = {
+    "audit_summary": with_views(_report(), "opinions"),
     "audit_counts": with_views(f"""
         select count(*) as row_count,
           {", ".join(f"count(*) filter (where {_NULLISH[c]}) as nullish_{c}" for c in TEXTS)},

@@ -99,8 +99,10 @@ def describe_columns(spark, sf_dir):
 
 
 def dataset_bytes(spark, sf_dir):
-    path = scratch_path(spark, "stage")
-    sinks.write_stage(table(spark, sf_dir, "documents"), path)
+    """Of an uncompressed text copy, whose size can be told from its rows; a file per language."""
+    path = scratch_path(spark, "lines")
+    rows = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("value"))
+    rows.repartition("lang").write.partitionBy("lang").text(path)
     return files.dataset_bytes(spark, path)
 
 
@@ -171,6 +173,7 @@ _SAMPLED = "cast(concat('0x', substr(md5(concat('42:', doc_id)), 1, 8)) as bigin
 _SHORT = "(case when court_id is null then 1 else 0 end - case when date_filed = 'not a date' then 1 else 0 end)"
 
 ORACLE = {
+    "dataset_bytes": "select cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as bytes, count(distinct lang) as files from documents",
     **{name: _AS_TEXT for name in [
         "csv_roundtrip_doubled", "csv_roundtrip_backslash", "csv_roundtrip_bz2", "csv_split_doubled",
         "csv_split_backslash", "csv_split_bz2", "bulk_etl"]},

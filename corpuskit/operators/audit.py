@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuskit.functions.columns import EXPECTED_COLUMNS, missing_columns_literal, present_of
 from corpuskit.functions.text import (
@@ -181,3 +182,38 @@ def audit_summary(
         (F.struct(*[F.col(f"top_{c}").alias(c) for c in categories]) if categories else F.lit(None).cast("string"))
         .alias("top_values"),
     )
+
+
+def audit_figures(report: DataFrame) -> DataFrame:
+    """Every figure of an `audit_summary` in a row of its own: ``part``, ``name``, 0-based ``rank``, ``key``, ``value``, as texts."""
+    fields = lambda name: report.schema[name].dataType.names if isinstance(report.schema[name].dataType, StructType) else []
+
+    def row(part: str, name: str, rank: Column, key: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(part).alias("part"), F.lit(name).alias("name"), rank.cast("int").alias("rank"),
+            key.cast("string").alias("key"), value.cast("string").alias("value"))
+
+    def one(part: str, name: str, key: str | None, value: Column) -> Column:
+        return F.array(row(part, name, F.lit(0), F.lit(key), value))
+
+    def listed(part: str, name: str, rows: Column, key: str, value: str) -> Column:
+        return F.transform(rows, lambda r, i: row(part, name, i, r[key], r[value]))
+
+    def counted(part: str, name: str, entries: Column) -> Column:
+        return F.transform(entries, lambda e: row(part, name, F.lit(0), e["key"], e["value"]))
+
+    figures = [one("rows", "", None, F.col("total_rows")), one("missing", "all", None, F.col("missing_all")),
+               F.transform("missing_expected_columns", lambda c, i: row("missing_columns", "", i, F.lit(None), c))]
+    for c in fields("missing"):
+        lengths, control = F.col(f"lengths.{c}"), F.col(f"control_chars.{c}")
+        key = report.schema["lengths"].dataType[c].dataType["longest"].dataType.elementType.names[0]
+        buckets = F.map_entries(lengths["buckets"])
+        figures += [
+            one("missing", c, None, F.col(f"missing.{c}")), one("control", c, None, control["count"]),
+            *[one("quantiles", c, q, lengths[q]) for q in ("p50", "p90", "p99", "p99_9")],
+            counted("buckets", c, buckets),
+            listed("longest", c, lengths["longest"], key, "length"),
+            listed("examples", c, control["examples"], key, "snippet"),
+        ]
+    figures += [listed("top", c, F.col(f"top_values.{c}"), "value", "row_count") for c in fields("top_values")]
+    return report.select(F.inline(F.flatten(F.array(*figures))))
