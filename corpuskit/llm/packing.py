@@ -9,6 +9,8 @@ or leaves less of it than one filling takes, so a plan has a few steps per lengt
 from __future__ import annotations
 
 import math
+import os
+import re
 import struct
 from bisect import bisect_right
 from collections import Counter
@@ -24,7 +26,6 @@ from corpuskit.session import materialise
 CAPACITY = 4096
 END_ID = 1
 MEMO_WORDS = 1_000_000
-ENCODE_WORDS = 20_000
 PIECE_BYTES = 8 << 20
 
 PIECES = "id {id}, piece int, start bigint, length bigint, ids binary"
@@ -36,39 +37,70 @@ NODES, FILLINGS, STEPS = 20_000, 4, 4_000
 # --- from texts to pieces ---------------------------------------------------------------------
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+# Letters that lower-casing maps one to one and that have no parts to be composed; sentence marks that words end with.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+")
+MARKS = b".,;:!?"
 
-    return Tokenizer.from_file(path)
 
+def _printable() -> dict[int, str]:
+    """Byte-level vocabularies write bytes that do not print as characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-class WordEncoder:
-    """Ids of whole texts, put together from the ids of their words.
 
-    The vocabulary drops white space and never joins across it, so a text's ids are those of its
-    words in a row; words repeat, and each is encoded once per task while the memo lasts.
+class WordIds(dict):
+    """Little-endian 32-bit ids of words, worked out when a word is first asked for.
+
+    The vocabulary drops white space and never joins across it, nor a letter with a sentence mark. So a word of
+    Latin letters goes straight to the merges, and its marks are looked up as a word of their own; all other words go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path), {}
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallel part
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.shown = Tokenizer.from_file(path), _printable()
+        self.model = self.tokenizer.model
+        self.cores: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        text = core.decode()
+        if LATIN.fullmatch(text):
+            ids = self.cores.get(core.lower()) or self._merged(core, text)
+            if len(core) < len(word):
+                ids += self[word[len(core) :]]
+        else:
+            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        self[word] = ids
+        return ids
 
-    def learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), ENCODE_WORDS):
-            part = words[i : i + ENCODE_WORDS]
-            found = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            for word, encoding in zip(part, found):
-                self.memo[word] = struct.pack(f"<{len(encoding.ids)}I", *encoding.ids)
+    def _merged(self, core: bytes, text: str) -> bytes:
+        found = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.shown))
+        ids = self.cores[core.lower()] = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+        return ids
+
+
+# Kept between the tasks of a Python worker.
+_word_ids = lru_cache(maxsize=2)(WordIds)
+
+
+class WordEncoder:
+    """Ids of whole texts, put together from those of their words; words repeat, and each is encoded once while the memo lasts."""
+
+    def __init__(self, path: str):
+        self.known = _word_ids(path)
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
-        words = text.split()  # bytes split at ASCII white space only
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        known = self.memo
-        if fresh := [w for w in set(words) if w not in known]:
-            self.learn(fresh)
-        return b"".join(map(known.__getitem__, words))
+        if len(self.known) > MEMO_WORDS:
+            self.known.clear()
+            self.known.cores.clear()
+        return b"".join(map(self.known.__getitem__, text.split()))  # bytes split at ASCII white space only
 
 
 def _tokenize(batches, path: str, capacity: int, end_id: int):
@@ -181,36 +213,50 @@ def completion_plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes:
     """
     total = sum(n * c for n, c in histogram.items())
     bound = -(-total // capacity)
-    best = None
-    best_bins = math.inf
-    stack: list[tuple] = [(dict(histogram), None, 0, 0)]  # steps are chained back to front
+    best, best_bins = None, math.inf
+    # An open branch is its steps, chained back to front, and its waste; counts are worked out again on return.
+    stack: list[tuple] = [(None, 0, 0)]
     while stack and nodes > 0 and best_bins > bound:
-        counts, steps, bins, waste = stack.pop()
+        steps, bins, waste = stack.pop()
+        counts = dict(histogram)
+        for times, step in _forwards(steps):
+            _take(counts, times, step)
         while counts and nodes > 0:
             nodes -= 1
             if best is not None and waste > (best_bins - 1) * capacity - total:
                 break
             largest = max(counts)
-            lengths = sorted(counts)
             rest = dict(counts)
             rest[largest] -= 1
-            options = undominated_fillings(lengths, rest, capacity - largest)
             branches = []
-            for filling in options:
+            for filling in undominated_fillings(sorted(counts), rest, capacity - largest):
                 step = filling + Counter([largest])
                 times = min(counts[n] // k for n, k in step.items())
-                after = {n: c - times * step[n] for n, c in counts.items() if c - times * step[n]}
                 lost = capacity - sum(n * k for n, k in step.items())
                 # The last sequence of a packing may stay open: its room is no waste.
-                branches.append((after, (steps, (times, step)), bins + times,
-                                 waste + (times * lost if after else (times - 1) * lost)))
+                closed = times - (sum(counts.values()) == times * sum(step.values()))
+                branches.append(((steps, (times, step)), bins + times, waste + closed * lost))
             stack.extend(reversed(branches[1:]))
-            counts, steps, bins, waste = branches[0]
+            steps, bins, waste = branches[0]
+            _take(counts, *steps[1])
         if not counts and bins < best_bins:
             best, best_bins = steps, bins
+    return _forwards(best)
+
+
+def _take(counts: dict[int, int], times: int, step: Counter) -> None:
+    """Takes the items of a step out of ``counts``."""
+    for length, each in step.items():
+        counts[length] -= times * each
+        if not counts[length]:
+            del counts[length]
+
+
+def _forwards(steps: tuple | None) -> list[tuple[int, Counter]]:
+    """The steps of a chain, first one first."""
     plan = []
-    while best:
-        best, step = best
+    while steps:
+        steps, step = steps
         plan.append(step)
     return plan[::-1]
 

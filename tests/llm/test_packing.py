@@ -10,14 +10,17 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuskit.llm.packing import completion_plan, pack, placement
+from corpuskit.llm.packing import WordEncoder, completion_plan, pack, placement
 from corpuskit.llm.queries import op3_best_fit_packing, table, vocabulary
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
+TOKENIZER = Tokenizer.from_file(vocabulary())
+
+
 def plain_ids(text):
-    return Tokenizer.from_file(vocabulary()).encode(text or "", add_special_tokens=False).ids + [1]
+    return TOKENIZER.encode(text or "", add_special_tokens=False).ids + [1]
 
 
 def check(rows, texts, capacity):
@@ -45,6 +48,18 @@ TEXTS = {0: None, 1: "", 2: "Hello  World's naïve don't", 3: "é ́x İstan
          5: "word " * 9_000, 6: "a" * 30_000, 7: "Å Å 12345 \t\n\x0b!!! ?x", 8: "日本語 text ßẞ ﬁ"}
 
 
+def test_words_are_encoded_as_in_their_text(spark):
+    rng = random.Random(2)
+    letters = "abzABZéÉßñÑüÜÀØøŁłŉǅİıſσΣΟς日本ǰẖ\u0301\u0331"
+    marks = [".", ",", "!?", "...", "'s", "'", '".', ").", "-", "’", "½", "²", "3", "_", "<|endoftext|>", "<|ENDOFTEXT|>", ":", ";;"]
+    encoder = WordEncoder(vocabulary())
+    for _ in range(2_000):
+        text = "".join(
+            rng.choice(["", " ", "\n", "\xa0"]) + "".join(rng.choice(letters) for _ in range(rng.randint(0, 6))) + rng.choice(["", *marks])
+            for _ in range(rng.randint(1, 5)))
+        assert list(np.frombuffer(encoder.encode(text.encode()), "<u4")) == TOKENIZER.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_edge_texts(spark):
     rows = [(i, t, "x", 1, "clash") for i, t in TEXTS.items()] + [(None, "no id", "x", 1, None), (2, TEXTS[2], "x", 2, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, piece int, _no string")
