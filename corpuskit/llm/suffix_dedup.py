@@ -22,8 +22,8 @@ from corpuskit.session import materialise, temporary_copies
 LENGTH = 400
 ANCHOR = 64
 CHUNK = 1 << 20
-SHARD_BYTES = 4 << 20
-PIECES_PER_SHARD = 4096
+SHARD_BYTES = 1 << 20
+PIECES_PER_SHARD = 1024
 
 _BASE = 0x9E3779B97F4A7C15
 _POSITION_BITS = 21
@@ -114,7 +114,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     short = left < 8
     words[short] &= ~np.uint64(0) << (np.uint64(8) * (8 - left[short]).astype(np.uint64))
     # A byte of the text may be zero too: among equal words the shorter suffix comes first, then by piece.
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words, kind="stable").astype(np.int32)
     ending = np.where(short, (8 - left).astype(np.int64) * (len(ends) + 1), 0)
     tail = np.where(short, len(ends) - piece, 0) + ending
     first = words[order]
@@ -128,8 +128,9 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         after = -tail[order]
         change[1:] |= (group[1:] == group[:-1]) & (after[1:] != after[:-1])
     starts = np.nonzero(change)[0]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = starts[np.cumsum(change) - 1]
+    left, piece = left.astype(np.int32), piece.astype(np.int32)
     depth = 8
     while True:
         sizes = np.diff(starts, append=n)
@@ -141,7 +142,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         # None of these ends before depth, or it would be settled; one that ends there sorts by its piece.
         goes_on = left[own] > depth
         following = np.where(goes_on, rank[np.where(goes_on, own + depth, 0)], piece[own] - len(ends)) + len(ends)
-        key = (rank[own] << 32) | following  # shards are far smaller than 2^31 bytes
+        key = (rank[own].astype(np.int64) << 32) | following  # shards are far smaller than 2^31 bytes
         inner = np.argsort(key)
         own, key = own[inner], key[inner]
         order[at] = own
@@ -149,27 +150,27 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         change = ~loose
         change[at] = split
         starts = np.nonzero(change)[0]
-        rank[own] = starts[np.searchsorted(starts, at, side="right") - 1]
+        rank[own] = starts[(np.cumsum(change, dtype=np.int32) - 1)[at]]
         depth *= 2
 
 
-def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray, least: int = 1) -> np.ndarray:
     """Bytes that each suffix shares with the one before it in ``order``, at most to the end of its piece.
 
     Kasai: from one position of a text to the next a common prefix loses at most one byte. All pieces
-    are walked at the same time, each from its own start.
+    are walked at the same time, each from its own start. Suffixes shorter than ``least`` are left at 0.
     """
     n = len(data)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.arange(n)
-    words = words_at(data)
+    words, eight = np.concatenate([words_at(data), np.zeros(64, np.uint64)]), 8 * np.arange(8)
     piece = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
     starts = np.concatenate([[0], ends[:-1]])
     out = np.zeros(n, np.int64)
     have = np.zeros(len(ends), np.int64)
     by_size = np.argsort(starts - ends, kind="stable")  # long pieces first
-    sizes = (ends - starts)[by_size]
-    for step in range(int(sizes[0]) if len(sizes) else 0):
+    sizes = (ends - starts - least + 1)[by_size]
+    for step in range(max(0, int(sizes[0])) if len(sizes) else 0):
         lanes = by_size[: np.searchsorted(-sizes, -step, side="left")]
         here = starts[lanes] + step
         place = rank[here]
@@ -182,12 +183,15 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
             a, b, k = here[open_], there[open_], shared[open_]
             fits = k < room[open_]
             open_, a, b, k = open_[fits], a[fits], b[fits], k[fits]
-            differ = words[a + k] ^ words[b + k]
-            equal = np.full(len(k), 8)
-            some = differ != 0
-            equal[some] = (63 - _top_bit(differ[some])) // 8
+            # Eight words at a time: up to the first that differs, and in that up to the first byte.
+            differ = words[(a + k)[:, None] + eight] ^ words[(b + k)[:, None] + eight]
+            at = (differ != 0).argmax(axis=1)
+            first = differ[np.arange(len(at)), at]
+            equal = np.full(len(k), 64)
+            some = first != 0
+            equal[some] = 8 * at[some] + (63 - _top_bit(first[some])) // 8
             shared[open_] = np.minimum(k + equal, room[open_])
-            open_ = open_[equal == 8]
+            open_ = open_[equal == 64]
         have[lanes] = shared
         out[place] = shared
     return out
@@ -205,7 +209,7 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
     data = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum([len(p) for p in pieces])
     order = suffix_array(data, ends)
-    shared = common_prefixes(data, ends, order) >= length
+    shared = common_prefixes(data, ends, order, length) >= length
     # A suffix repeats if it shares enough with the one before it or the one after it.
     again = shared.copy()
     again[:-1] |= shared[1:]
@@ -303,39 +307,44 @@ def _compare(batches, length: int):
 
 
 def _publish(batches, length: int):
-    """The different strings of each shard of a spread anchor, in the order of their prints, by range of prints."""
+    """The strings of each shard of a spread anchor, in the order of their prints, a row per range of prints."""
+    key, salts, held = None, 0, {}
+
+    def rows():
+        """Prints, pieces and starts of all strings of the shard, cut at borders that all shards of the anchor share."""
+        prints = np.array([xxhash.xxh3_128_intdigest(piece[i : i + length]) >> 65
+                           for piece in held.values() for i in range(len(piece) - length + 1)], np.int64)
+        counts = [len(piece) - length + 1 for piece in held.values()]
+        order = np.argsort(prints, kind="stable")
+        prints = prints[order]
+        owners = np.repeat(np.array(list(held), np.int64), counts)[order]
+        starts = np.concatenate([np.arange(n) for n in counts])[order]
+        borders = (np.arange(1, salts, dtype=object) * ((1 << 63) // salts)).astype(np.int64)
+        cuts = np.concatenate([[0], np.searchsorted(prints, borders), [len(prints)]])
+        some = np.nonzero(np.diff(cuts))[0]
+        lists = [_lists([values[cuts[i] : cuts[i + 1]] for i in some]) for values in (prints, owners, starts)]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([v] * len(some), pa.int64()) for v in key), pa.array(some, pa.int64()), *lists],
+            names=["h", "salt", "range", "prints", "p", "at"])
+
     for batch in batches:
-        for h, salt, p, _, piece, salts in zip(*(c.to_pylist() for c in batch.columns)):
-            prints = np.array([xxhash.xxh3_128_intdigest(piece[i : i + length]) >> 1 & (1 << 63) - 1
-                               for i in range(len(piece) - length + 1)], np.int64)
-            order = np.argsort(prints, kind="stable")
-            # Ranges of prints are cut at common borders, found by binary search.
-            ranges = 16 * salts
-            borders = (np.arange(1, ranges, dtype=object) * ((1 << 63) // ranges)).astype(np.int64)
-            cuts = np.concatenate([[0], np.searchsorted(prints[order], borders), [len(order)]])
-            some = np.nonzero(np.diff(cuts))[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v] * len(some), pa.int64()) for v in (h, salt, p)] + [
-                    pa.array(some, pa.int64()), _lists([prints[order[cuts[i] : cuts[i + 1]]] for i in some]),
-                    _lists([order[cuts[i] : cuts[i + 1]] for i in some])],
-                names=["h", "salt", "p", "range", "prints", "at"])
+        for h, salt, p, piece, count in zip(*(c.to_pylist() for c in batch.columns)):
+            if (h, salt) != key:
+                if held:
+                    yield rows()
+                key, salts, held = (h, salt), count, {}
+            held[p] = piece
+    if held:
+        yield rows()
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Strings of one range of prints that another shard has, too: each shard is looked up in the others."""
-    by_shard: dict[int, list] = {}
-    for _, salt, p, _, prints, at in zip(*(c.to_pylist() for c in table.columns)):
-        by_shard.setdefault(salt, []).append((p, np.array(prints, np.int64), np.array(at, np.int64)))
-    sorted_shards = {s: np.unique(np.concatenate([x[1] for x in rows])) for s, rows in by_shard.items()}
-    # In how many shards a string is: shards are merged, and each looks its strings up in the whole.
-    every, shards = np.unique(np.concatenate(list(sorted_shards.values())), return_counts=True)
-    out = []
-    for rows in by_shard.values():
-        for p, prints, at in rows:
-            again = shards[np.searchsorted(every, prints)] > 1
-            out += [(p, int(i), int(i)) for i in at[again]]
-    return pa.table({"p": pa.array([r[0] for r in out], pa.int64()), "first": pa.array([r[1] for r in out], pa.int64()),
-                     "last": pa.array([r[2] for r in out], pa.int64())})
+    """Strings of one range of prints that another shard has, too: each shard is looked up in the union of all."""
+    shards = [tuple(np.array(v, np.int64) for v in row) for row in zip(*(table.column(c).to_pylist() for c in ("prints", "p", "at")))]
+    every, times = np.unique(np.concatenate([np.unique(prints) for prints, _, _ in shards]), return_counts=True)
+    found = [(p[again], at[again]) for prints, p, at in shards for again in [times[np.searchsorted(every, prints)] > 1]]
+    owners, starts = (np.concatenate(v) for v in zip(*found))
+    return pa.table({"p": pa.array(owners), "first": pa.array(starts), "last": pa.array(starts)})
 
 
 def repeated_runs(texts: DataFrame, length: int, per_shard: int) -> DataFrame:
@@ -354,14 +363,15 @@ def repeated_runs(texts: DataFrame, length: int, per_shard: int) -> DataFrame:
     wanted = materialise(wanted, "wanted")
     pieces = texts.select("t", "text").join(wanted, "t").mapInArrow(
         partial(_fetch, length=length), "h bigint, salt bigint, p bigint, whole boolean, piece binary")
-    pieces = materialise(pieces.repartition("h", "salt").sortWithinPartitions("h", "salt"), "shards")
+    pieces = materialise(pieces, "pieces")
     shards = pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
     runs = shards.mapInArrow(partial(_compare, length=length), f"p bigint, runs {RUNS}").select("p", F.explode("runs").alias("r")).select("p", "r.*")
 
     spread = anchors.where(F.col("pieces") > per_shard).select("h", salts.alias("salts"))
-    published = pieces.join(spread, "h").select("h", "salt", "p", "whole", "piece", "salts").mapInArrow(
+    spread_pieces = pieces.join(spread, "h").select("h", "salt", "p", "piece", "salts")
+    published = spread_pieces.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(
         partial(_publish, length=length),
-        "h bigint, salt bigint, p bigint, range bigint, prints array<bigint>, at array<bigint>")
+        "h bigint, salt bigint, range bigint, prints array<bigint>, p array<bigint>, at array<bigint>")
     runs = runs.unionByName(published.groupBy("h", "range").applyInArrow(_merge, "p bigint, first bigint, last bigint"))
 
     relative = materialise(runs.groupBy("p").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
