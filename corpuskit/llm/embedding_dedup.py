@@ -34,6 +34,7 @@ SUBSPACES = 8
 CODES = 256
 ROUNDS = 8
 BLOCK_ROWS = 2048
+QUERY_ROWS = 256
 # Room for rounding when a bound is compared with a distance.
 SLACK = 1e-6
 
@@ -112,11 +113,15 @@ class Quantiser:
         least = apart[np.arange(len(own)), own][:, None]
         return (apart - least) <= 2 * between * (radius + SLACK)
 
-    def distances(self, query: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of a query to coded vectors of a list, from one table per subspace."""
-        rest = query - self.coarse[list_no]
-        tables = [((book - rest[part]) ** 2).sum(1) for part, book in zip(self.parts, self.books)]
-        return np.sqrt(sum(table[codes[:, i]] for i, table in enumerate(tables)))
+    def distances(self, queries: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
+        """Distances of queries (rows) to coded vectors of a list (columns), from one table per subspace."""
+        rest = queries - self.coarse[list_no]
+        total = np.zeros((len(queries), len(codes)))
+        for i, (part, book) in enumerate(zip(self.parts, self.books)):
+            own = rest[:, part]
+            table = (own * own).sum(1)[:, None] - 2 * own @ book.T + (book * book).sum(1)
+            total += table[:, codes[:, i]]
+        return np.sqrt(np.maximum(total, 0))
 
 
 def fit_quantiser(sample: np.ndarray, lists: int, subspaces: int = SUBSPACES, codes: int = CODES) -> Quantiser:
@@ -173,16 +178,20 @@ def _compare_block(table: pa.Table, shared, radius: float, cosine: float) -> pa.
         errors = index.column("error").to_numpy()
         from_, to, weight = (t.column(c).to_numpy() for t, c in ((queries, "node"), (index, "node"), (index, "copies")))
         left, right = [], []
-        for i, vector in enumerate(asking):
-            near = np.nonzero(quantiser.distances(vector, list_no, codes) <= radius + errors + SLACK)[0]
-            near = near[to[near] != from_[i]]
-            linked = near[held[near] @ vector >= cosine]
-            if len(linked):
-                out["a"].append(from_[i])
+        for at in range(0, len(asking), QUERY_ROWS):
+            some, ids = asking[at : at + QUERY_ROWS], from_[at : at + QUERY_ROWS]
+            near = quantiser.distances(some, list_no, codes) <= radius + errors + SLACK
+            near &= ids[:, None] != to[None, :]
+            held_near = np.nonzero(near.any(axis=0))[0]
+            linked = near[:, held_near] & (some @ held[held_near].T >= cosine)
+            counts = linked @ weight[held_near]
+            for i in np.nonzero(counts)[0]:
+                out["a"].append(int(ids[i]))
                 out["b"].append(None)
-                out["n"].append(int(weight[linked].sum()))
-                left.append(np.full(len(linked), from_[i]))
-                right.append(to[linked])
+                out["n"].append(int(counts[i]))
+            i, j = np.nonzero(linked)
+            left.append(ids[i])
+            right.append(to[held_near[j]])
         if left:
             nodes, roots = spanning_forest(np.concatenate(left), np.concatenate(right))
             for node, root in zip(nodes[nodes != roots].tolist(), roots[nodes != roots].tolist()):

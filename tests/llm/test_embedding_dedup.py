@@ -98,7 +98,7 @@ def test_bounds_hold():
             if not len(members):
                 continue
             true = np.sqrt(((v[members] - v[i]) ** 2).sum(1))
-            told = q.distances(v[i], no, codes[members])
+            told = q.distances(v[i : i + 1], no, codes[members])[0]
             assert (np.abs(told - true) <= errors[members] + 1e-9).all()
             assert probes[i, no] or (true > 0.4).all()
             pruned += int((told > 0.4 + errors[members]).sum())
