@@ -11,22 +11,24 @@ tiles are made only of those gatherings that are not one component by then.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.components import components
 from corpuskit.operators.ordered import row_numbers
-from corpuskit.session import materialise
+from corpuskit.session import materialise, temporary_copies
 
 WIDTH = 4
 PERCENT = 85
-BITMAP_BITS = 1024
+LEAST_BITS, MOST_BITS = 10, 20
+BITS_PER_ITEM, WIDE_BITS_PER_ITEM = 4, 16
 TILE_ROWS = 256
 MEMO_WORDS = 1_000_000
 MEMO_SETS = 200_000
@@ -36,7 +38,7 @@ CELLS = 1 << 20
 BLOCK_CELLS = 1 << 12
 MERGE_SHARDS = 64
 
-SETS = "id {id}, digest bigint, n int, node bigint, lead boolean, hi bigint, lo bigint, bits binary, items binary"
+SETS = "id {id}, digest bigint, n int, node bigint, lead boolean, hi bigint, lo bigint, bits binary, text binary"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -45,22 +47,35 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 # --- from texts to sets -------------------------------------------------------------------------
 
 
+class Numbers(dict):
+    """Numbers words as they come, and keeps the hash of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[number] = xxhash.xxh64_intdigest(word)
+        return number
+
+
 class Shingler:
     """Sorted hashes of the distinct word n-grams of a text."""
 
     def __init__(self, width: int):
-        self.width, self.memo = width, {}
+        self.width, self.words = width, Numbers()
 
     def items(self, text: bytes) -> np.ndarray:
         words = text.lower().split()  # of bytes: A-Z only, and ASCII white space only
         if not words:
             return np.empty(0, np.uint64)
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for word in set(words).difference(memo):
-            memo[word] = xxhash.xxh64_intdigest(word)
-        hashes = np.array([memo[w] for w in words], np.uint64)
+        if len(self.words) > MEMO_WORDS:
+            self.words = Numbers()
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        hashes = self.words.hashes[numbers]
         width = min(self.width, len(words))
         out = np.full(len(words) - width + 1, width, np.uint64)
         for i in range(width):
@@ -68,45 +83,71 @@ class Shingler:
         out ^= out >> np.uint64(31)
         out *= _MIX
         out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out.sort()
+        fresh = np.ones(len(out), bool)
+        np.not_equal(out[1:], out[:-1], out=fresh[1:])
+        return out[fresh]
 
 
-def bitmap(items: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP_BITS, bool)
-    bits[(items >> np.uint64(54)).astype(np.intp)] = True
-    return np.packbits(bits).tobytes()
+def bitmap(items: np.ndarray, per_item: int = BITS_PER_ITEM) -> bytes:
+    """A bit per range of hashes: a power of two of bits, ``per_item`` as many as items or more, within bounds."""
+    power = min(MOST_BITS, max(LEAST_BITS, (per_item * len(items) - 1).bit_length()))
+    bits = np.zeros(1 << power, bool)
+    bits[(items >> np.uint64(64 - power)).astype(np.intp)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Rows of bitmaps with each two neighbouring bits as one, as if made with half as many bits."""
+    flags = np.unpackbits(bits.view(np.uint8), axis=-1, bitorder="little")
+    return np.packbits(flags[:, ::2] | flags[:, 1::2], axis=-1, bitorder="little").view(np.uint64)
 
 
 def _sets(batches, width: int):
-    shingler, seen = Shingler(width), {}
+    """Rows of documents; at the end of a task rows of ``n`` below 0 with its counts of items by cell."""
+    shingler, seen, counts = Shingler(width), {}, CellCounts()
     first, rows = TaskContext.get().partitionId() << 33, 0
     for batch in batches:
         ids, digests, texts = batch.columns
-        out = {k: [] for k in ("n", "node", "lead", "hi", "lo", "bits", "items")}
+        out = {k: [] for k in ("n", "node", "lead", "hi", "lo", "bits", "text")}
         for text in texts:
-            items = shingler.items(text.as_py())
-            raw, key, node, lead = items.tobytes(), 0, None, False
+            raw = text.as_py()
+            items = shingler.items(raw)
+            key, node, lead = 0, None, False
             if len(items):
-                key = xxhash.xxh3_128_intdigest(raw)
+                key = xxhash.xxh3_128_intdigest(items.tobytes())
                 if len(seen) > MEMO_SETS:
                     seen.clear()
                 node = seen.setdefault(key, first + rows)
                 lead = node == first + rows
+                if lead:
+                    counts.add(items)
             out["n"].append(len(items))
             out["node"].append(node)
             out["lead"].append(lead)
             out["hi"].append((key >> 64) - (1 << 63))
             out["lo"].append((key & ((1 << 64) - 1)) - (1 << 63))
             out["bits"].append(bitmap(items) if lead else None)
-            out["items"].append(raw if lead else None)
+            out["text"].append(raw if lead else None)
             rows += 1
-        kinds = {"n": pa.int32(), "lead": pa.bool_(), "bits": pa.binary(), "items": pa.binary()}
+        kinds = {"n": pa.int32(), "lead": pa.bool_(), "bits": pa.binary(), "text": pa.binary()}
         yield pa.RecordBatch.from_arrays(
             [ids, digests, *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], names=["id", "digest", *out])
+        id_type = ids.type
+    if rows:
+        blocks = counts.blocks()
+        none = lambda kind: pa.nulls(len(blocks), kind)
+        yield pa.RecordBatch.from_arrays(
+            [none(id_type), none(pa.int64()), pa.array(range(-1, -len(blocks) - 1, -1), pa.int32()), pa.array([first >> 33] * len(blocks), pa.int64()),
+             none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.binary()), pa.array(blocks, pa.binary())], names=["id", "digest", *out])
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """A row per row of ``df``; equal sets of a task share the ``node`` of the first, its ``lead``."""
+    """A row per row of ``df``; equal sets of a task share the ``node`` of the first, its ``lead``.
+
+    Rows of ``n`` below 0 are no documents but a task's counts of items, so that texts are split once for both. Only a lead keeps its text. Sets are worked out again from it where they are needed, for texts
+    take half the room of their hashes.
+    """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("digest"), text.cast("binary").alias("text"))
@@ -120,22 +161,26 @@ def _cell(items: np.ndarray) -> np.ndarray:
     return (items & np.uint64(CELLS - 1)).astype(np.intp)
 
 
-def _frequency_blocks(batches):
-    """Counts of all items of a task, as blocks of cells."""
-    counts, held, size = np.zeros(CELLS, np.int64), [], 0
-    for batch in batches:
-        for raw in batch.column(0):
-            held.append(raw.as_py())
-            size += len(held[-1])
-            if size > 8 * CELLS:
-                counts += np.bincount(_cell(np.frombuffer(b"".join(held), np.uint64)), minlength=CELLS)
-                held, size = [], 0
-    counts += np.bincount(_cell(np.frombuffer(b"".join(held), np.uint64)), minlength=CELLS)
-    blocks = counts.reshape(-1, BLOCK_CELLS)
-    shard = TaskContext.get().partitionId() % MERGE_SHARDS
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(len(blocks)), pa.int32()), pa.array([shard] * len(blocks), pa.int32()),
-         pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "shard", "counts"])
+class CellCounts:
+    """Counts of items by cell, gathered over many sets."""
+
+    def __init__(self):
+        self.counts, self.held, self.size = np.zeros(CELLS, np.int64), [], 0
+
+    def add(self, items: np.ndarray) -> None:
+        self.held.append(items)
+        self.size += len(items)
+        if self.size > CELLS:
+            self._fold()
+
+    def _fold(self) -> None:
+        if self.held:
+            self.counts += np.bincount(_cell(np.concatenate(self.held)), minlength=CELLS)
+        self.held, self.size = [], 0
+
+    def blocks(self) -> list[bytes]:
+        self._fold()
+        return [b.tobytes() for b in self.counts.reshape(-1, BLOCK_CELLS)]
 
 
 def _add_blocks(table: pa.Table) -> pa.Table:
@@ -143,13 +188,14 @@ def _add_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "shard": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def frequency_table(sets: DataFrame) -> np.ndarray:
+def frequency_table(counts: DataFrame) -> np.ndarray:
     """How often each cell of items occurs, over all sets. Its size is fixed: ``CELLS`` numbers.
 
     Blocks are added up by shard of tasks first, so that no group grows with the number of tasks alone.
     """
     kind = "block int, shard int, counts binary"
-    blocks = sets.where("lead").select("items").mapInArrow(_frequency_blocks, kind)
+    blocks = counts.select(
+        (-F.col("n") - 1).alias("block"), F.pmod("node", F.lit(MERGE_SHARDS)).cast("int").alias("shard"), F.col("text").alias("counts"))
     merged = blocks.groupBy("block", "shard").applyInArrow(_add_blocks, kind)
     rows = merged.groupBy("block").applyInArrow(_add_blocks, kind).collect()
     out = np.zeros((CELLS // BLOCK_CELLS, BLOCK_CELLS), np.int64)
@@ -166,11 +212,12 @@ def least_overlap(n, m, percent: int):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _prefixes(batches, shared, percent: int):
+def _prefixes(batches, shared, width: int, percent: int):
+    shingler = Shingler(width)
     for batch in batches:
         keys, nodes, sizes = [], [], []
         for node, raw in zip(batch.column(0), batch.column(1)):
-            items = np.frombuffer(raw.as_py(), np.uint64)
+            items = shingler.items(raw.as_py())
             length = len(items) + percent * len(items) // -100 + 1  # n - ceil(p n) + 1
             order = np.lexsort((items, shared.value[_cell(items)]))[:length]
             keys.append(items[order].view(np.int64))
@@ -178,22 +225,23 @@ def _prefixes(batches, shared, percent: int):
             sizes.append(np.full(len(order), len(items), np.int32))
         if keys:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+                [pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["item", "node", "n"])
+
 
+def gatherings(sets: DataFrame, counts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Rows (``key``, ``node``, ``n``): nodes that share a rare item, by the smallest of them.
 
-def gatherings(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (``key``, ``node``, ``n``, three members) of nodes that share a rare item; one of those with equal members."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequency_table(sets))
-    work = partial(_prefixes, shared=shared, percent=percent)
+    Gatherings with the same smallest node are one: copies that share many items meet a few times, not once per item.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(frequency_table(counts))
+    work = partial(_prefixes, shared=shared, width=width, percent=percent)
     entries = materialise(
-        sets.where("lead").select("node", "items").mapInArrow(work, "key bigint, node bigint, n int"), "entries")
-    keys = entries.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-        F.min("node").alias("r1"), F.max("node").alias("r2"), F.min_by("node", F.xxhash64("node")).alias("r3")).where("c > 1")
-    # Keys with the same members would be compared in the same way: one of them is enough.
-    kept = keys.groupBy("c", "x", "y").agg(*[F.min(k).alias(k) for k in ("key", "r1", "r2", "r3")])
-    kept = materialise(kept.select("key", "r1", "r2", "r3"), "gatherings")
-    return materialise(entries.join(kept, "key"), "members")
+        sets.where("lead").select("node", "text").mapInArrow(work, "item bigint, node bigint, n int"), "entries")
+    # Nearly all items occur once; a count is the least that has to move to tell.
+    again = materialise(entries.groupBy("item").count().where("count > 1").select("item"), "items")
+    common = materialise(entries.join(again, "item"), "common")
+    least = materialise(common.groupBy("item").agg(F.min("node").alias("key")), "least")
+    return materialise(common.join(least, "item").select("key", "node", "n").distinct(), "members")
 
 
 # --- pairs --------------------------------------------------------------------------------------
@@ -206,17 +254,30 @@ def _may_overlap(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, per
     return most >= need
 
 
-def _bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP_BITS // 64)
+def _words(maps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+
+
+def bounded_pairs(x: list[bytes], y: list[bytes], n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of bitmaps leave room for the overlap; pairs of equal sizes of bitmaps are taken together."""
+    keep = np.zeros(len(x), bool)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y)]).reshape(-1, 2)
+    for p, q in np.unique(sizes, axis=0):
+        at = np.nonzero((sizes[:, 0] == p) & (sizes[:, 1] == q))[0]
+        a, b = _words([x[i] for i in at]), _words([y[i] for i in at])
+        while a.shape[1] > b.shape[1]:
+            a = halved(a)
+        while b.shape[1] > a.shape[1]:
+            b = halved(b)
+        keep[at] = _may_overlap(a, b, n[at], m[at], percent)
+    return keep
 
 
 def _bound_pairs(batches, percent: int):
     for batch in batches:
-        if not batch.num_rows:
-            continue
         a, b, n, m, x, y = batch.columns
         n, m = (v.to_numpy().astype(np.int64) for v in (n, m))
-        keep = _may_overlap(_bits(x), _bits(y), n, m, percent)
+        keep = bounded_pairs(x.to_pylist(), y.to_pylist(), n, m, percent)
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
@@ -244,50 +305,99 @@ def _with_both(pairs: DataFrame, sets: DataFrame, columns: dict[str, tuple[str,
     return pairs.select("a", "b", *[names[at] for names in columns.values() for at in (0, 1)])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, bounded: bool = False) -> DataFrame:
-    """The pairs (``a``, ``b``) of nodes that are similar enough: sizes, then bitmaps, then the sets themselves."""
-    leads = sets.where("lead")
+def _items(batches, width: int):
+    shingler = Shingler(width)
+    for batch in batches:
+        found = [shingler.items(raw.as_py()) for raw in batch.column(1)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(i) for i in found], pa.int32()), pa.array([bitmap(i, WIDE_BITS_PER_ITEM) for i in found], pa.binary()),
+             pa.array([i.tobytes() for i in found], pa.binary())], names=["node", "n", "wide", "items"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int, bounded: bool = False) -> DataFrame:
+    """The pairs (``a``, ``b``) of nodes that are similar enough: by bitmaps, by wider ones, then by the sets themselves."""
+    leads, bound = sets.where("lead"), partial(_bound_pairs, percent=percent)
     if not bounded:
-        sized = _with_both(pairs, leads, {"n": ("n", "m"), "bits": ("x", "y")})
-        sized = sized.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-        pairs = materialise(sized.mapInArrow(partial(_bound_pairs, percent=percent), "a bigint, b bigint"), "bounded")
-    both = _with_both(pairs, leads, {"items": ("s", "t")})
-    return both.mapInArrow(partial(_exact_pairs, percent=percent), "a bigint, b bigint")
+        mapped = _with_both(pairs, leads, {"n": ("n", "m"), "bits": ("x", "y")})
+        pairs = materialise(mapped.mapInArrow(bound, "a bigint, b bigint"), "bounded")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    items = materialise(leads.select("node", "text").join(asked, "node").mapInArrow(
+        partial(_items, width=width), "node bigint, n int, wide binary, items binary"), "items")
+    wide = _with_both(pairs, items, {"n": ("n", "m"), "wide": ("x", "y")})
+    close = materialise(wide.mapInArrow(bound, "a bigint, b bigint"), "bounded")
+    return _with_both(close, items, {"items": ("s", "t")}).mapInArrow(partial(_exact_pairs, percent=percent), "a bigint, b bigint")
 
 
 def _compare_tile(batches, percent: int):
     """Pairs of a tile whose parts are of different components and pass the bound."""
     for batch in batches:
         for x, y, same in zip(*batch.columns):
-            left, right = ([[m[k].as_py() for m in side.values] for k in ("node", "n", "component", "bits")] for side in (x, y))
-            nodes, sizes, parts, bits = zip(*[(np.array(s[0]), np.array(s[1], np.int64), np.array(s[2]), s[3]) for s in (left, right)])
-            words = [np.frombuffer(b"".join(b), np.uint64).reshape(-1, BITMAP_BITS // 64) for b in bits]
-            i, j = np.nonzero(
-                (parts[0][:, None] != parts[1][None, :])
-                & (100 * np.minimum(sizes[0][:, None], sizes[1][None, :]) >= percent * np.maximum(sizes[0][:, None], sizes[1][None, :])))
+            (nodes, sizes, parts, low, maps), (nodes2, sizes2, parts2, low2, maps2) = (
+                [np.array(v) if k != "bits" else v for k in ("node", "n", "component", "low", "bits") for v in [[m[k] for m in side.as_py()]]]
+                for side in (x, y))
+            small, large = np.minimum(sizes[:, None], sizes2[None, :]), np.maximum(sizes[:, None], sizes2[None, :])
+            # Two members of the lower band also meet in the group below.
+            i, j = np.nonzero((parts[:, None] != parts2[None, :]) & (100 * small >= percent * large) & ~(low[:, None] & low2[None, :]))
             if same.as_py():
                 i, j = i[i < j], j[i < j]
-            ok = _may_overlap(words[0][i], words[1][j], sizes[0][i], sizes[1][j], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[0][i[ok]]), pa.array(nodes[1][j[ok]])], names=["a", "b"])
+            ok = tile_bound(maps, maps2, i, j, sizes[i].astype(np.int64), sizes2[j].astype(np.int64), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i[ok]], pa.int64()), pa.array(nodes2[j[ok]], pa.int64())], names=["a", "b"])
+
+
+def tile_bound(x: list[bytes], y: list[bytes], i: np.ndarray, j: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """`bounded_pairs` of the rows ``i`` and ``j`` of two bands, with each bitmap unpacked and folded once."""
+    width = min(map(len, [*x, *y]), default=0)
+
+    def folded(maps: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(maps), width // 8), np.uint64)
+        for at, raw in enumerate(maps):
+            row = _words([raw])
+            while row.shape[1] > width // 8:
+                row = halved(row)
+            out[at] = row[0]
+        return out
+
+    left, right, keep = folded(x), folded(y), np.zeros(len(i), bool)
+    step = max(1, (1 << 22) // max(1, width))
+    for at in range(0, len(i), step):
+        part = slice(at, at + step)
+        keep[part] = _may_overlap(left[i[part]], right[j[part]], n[part], m[part], percent)
+    return keep
+
+
+def size_band(n: Column, percent: int) -> Column:
+    """Number of the band of a size; sizes that are compatible are in the same band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / percent) * (1 - 1e-9)).cast("int")
 
 
 def tiled_pairs(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components, from tiles of size bands of the gatherings with several components."""
-    part = F.coalesce("component", "node")
-    own = materialise(
-        members.select("key", "node", "n").join(parts, "node", "left").select("key", "node", "n", part.alias("component")), "parts")
+    """Candidate pairs across components, from tiles of size bands of the gatherings with several components.
+
+    A member stands in the group of its size band and in the next one, so those of neighbouring bands
+    meet; a group of one component needs no tile. Members of the component of a group's smallest node make up tiles of
+    their own, which are not compared with each other.
+    """
+    part, band = F.coalesce("component", "node"), size_band(F.col("n"), percent)
+    own = members.join(parts, "node", "left").select("key", "node", "n", part.alias("component"), band.alias("own_band"))
+    own = own.select("*", F.explode(F.array("own_band", F.col("own_band") + 1)).alias("size_band"))
+    own = materialise(own.withColumn("low", F.col("own_band") < F.col("size_band")).drop("own_band"), "parts")
+    group = ["key", "size_band"]
     open_keys = materialise(
-        own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "open")
-    left = own.join(open_keys, "key")
-    numbered = row_numbers(left, ["key"], [F.col("n").asc(), F.col("node").asc()], "_no")
+        own.groupBy(*group).agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("first"),
+            F.bool_and("low").alias("lower")).where("lo <> hi and not lower").select(*group, "first"), "open")
+    left = own.join(open_keys, group).withColumn("main", F.col("component") == F.col("first")).drop("first")
+    numbered = row_numbers(left, [*group, "main"], [F.col("n").asc(), F.col("node").asc()], "_no")
     numbered = numbered.join(sets.where("lead").select("node", "bits"), "node")
     bands = materialise(
-        numbered.groupBy("key", F.expr(f"(_no - 1) div {TILE_ROWS}").alias("band")).agg(
+        numbered.groupBy(*group, "main", F.expr(f"(_no - 1) div {TILE_ROWS}").alias("band")).agg(
             F.min("n").alias("low"), F.max("n").alias("high"),
-            F.collect_list(F.struct("node", "n", "component", "bits")).alias("rows")), "bands")
-    other = bands.select("key", F.col("band").alias("band2"), F.col("low").alias("low2"), F.col("rows").alias("rows2"))
-    tiles = bands.join(other, "key").where(f"band <= band2 and high * 100 >= low2 * {percent}")
-    pairs = tiles.select("rows", "rows2", (F.col("band") == F.col("band2")).alias("same"))
+            F.collect_list(F.struct("node", "n", "component", "low", "bits")).alias("rows")), "bands")
+    other = bands.where("not main").select(
+        *group, F.col("band").alias("band2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("rows").alias("rows2"))
+    tiles = bands.join(other, group).where(
+        f"(main or band <= band2) and high * 100 >= low2 * {percent} and high2 * 100 >= low * {percent}")
+    pairs = tiles.select("rows", "rows2", (~F.col("main") & (F.col("band") == F.col("band2"))).alias("same"))
     found = pairs.mapInArrow(partial(_compare_tile, percent=percent), "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -295,18 +405,24 @@ def tiled_pairs(members: DataFrame, parts: DataFrame, sets: DataFrame, percent:
 # --- the operator -------------------------------------------------------------------------------
 
 
-def _linked_sets(sets: DataFrame, percent: int) -> DataFrame:
+def _linked_sets(sets: DataFrame, counts: DataFrame, width: int, percent: int) -> DataFrame:
     """``node`` and ``component`` of the nodes that are linked with another one."""
-    members = gatherings(sets, percent)
-    tried = members.select(F.explode(F.array("r1", "r2", "r3")).alias("r"), "node").where("r <> node")
+    members = gatherings(sets, counts, width, percent)
+    some = F.xxhash64("node")
+    tries = materialise(members.groupBy("key").agg(
+        F.min_by("n", "node").alias("n0"), F.max("node").alias("r1"), F.max_by("n", "node").alias("n1"),
+        F.min_by("node", some).alias("r2"), F.min_by("n", some).alias("n2")), "tries")
+    three = F.array(*[F.struct(F.col(r).alias("r"), F.col(m).alias("m")) for r, m in (("key", "n0"), ("r1", "n1"), ("r2", "n2"))])
+    tried = members.join(tries, "key").select("node", "n", F.inline(three)).where("r <> node")
+    tried = tried.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
     tried = tried.select(F.least("r", "node").alias("a"), F.greatest("r", "node").alias("b")).distinct()
     # Sets that several tasks have: one row per set and task.
     equal = materialise(
         sets.where("lead").groupBy("hi", "lo").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1"), "equal")
     again = sets.where("lead").select("node", "hi", "lo").join(equal, ["hi", "lo"]).select(F.col("node").alias("a"), "b")
-    first = components(verified(tried, sets, percent).unionByName(again))
+    first = components(verified(tried, sets, width, percent).unionByName(again))
     first = materialise(first, "components")
-    rest = verified(materialise(tiled_pairs(members, first, sets, percent), "pairs"), sets, percent, bounded=True)
+    rest = verified(materialise(tiled_pairs(members, first, sets, percent), "pairs"), sets, width, percent, bounded=True)
     return components(rest.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
@@ -322,13 +438,16 @@ def jaccard_components(
     Repeated rows are rows like any other. ``digest`` hashes the text, and ``keep_digest`` is that of a
     row with the smallest id, which tells which row stays. An empty table gives no row.
     """
-    sets = materialise(shingle_sets(df, id_col, text_col, width), "sets")
-    parts = materialise(_linked_sets(sets, percent), "components")
-    rows = sets.select("id", "digest", F.col("n").alias("n_shingles"), "node").join(parts, "node", "left")
-    rows = materialise(rows.withColumn("component", F.coalesce("component", "node")).drop("node"), "rows")
-    heads = materialise(
-        rows.where("component is not null").groupBy("component").agg(
-            F.min("id").alias("component_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("keep_digest")), "heads")
+    with temporary_copies(df.sparkSession) as kept:
+        both = materialise(shingle_sets(df, id_col, text_col, width), "sets")
+        sets, counts = both.where("n >= 0"), both.where("n < 0")
+        parts = materialise(_linked_sets(sets, counts, width, percent), "components")
+        rows = sets.select("id", "digest", F.col("n").alias("n_shingles"), "node").join(parts, "node", "left")
+        rows = materialise(rows.withColumn("component", F.coalesce("component", "node")).drop("node"), "rows")
+        heads = materialise(
+            rows.where("component is not null").groupBy("component").agg(
+                F.min("id").alias("component_id"), F.coalesce(F.min_by("digest", "id"), F.min("digest")).alias("keep_digest")), "heads")
+        kept += [rows, heads]
     alone = F.col("component").isNull()
     return rows.join(heads, "component", "left").select(
         "id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -119,12 +119,22 @@ def test_bound_is_never_below_the_overlap():
     for _ in range(300):
         pool = rng.integers(0, 2**63, 400, dtype=np.uint64)
         a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
-        x, y = (np.frombuffer(jaccard.bitmap(s), np.uint64) for s in (a, b))
+        x, y = (jaccard.bitmap(s) for s in (a, b))
         both = len(np.intersect1d(a, b))
         assert jaccard.overlap(a, b) == both
         n, m = np.int64(len(a)), np.int64(len(b))
         if both >= least_overlap(n, m, 85):
-            assert jaccard._may_overlap(x[None], y[None], np.array([n]), np.array([m]), 85)[0]
+            assert jaccard.bounded_pairs([x], [y], np.array([n]), np.array([m]), 85)[0]
+            assert jaccard.tile_bound([x], [y], np.array([0]), np.array([0]), np.array([n]), np.array([m]), 85)[0]
+
+
+def test_folded_bitmap_is_the_smaller_one():
+    items = np.unique(np.random.default_rng(1).integers(0, 2**64, 200, dtype=np.uint64))
+    small = jaccard.bitmap(items)
+    flags = np.zeros(2048, bool)
+    flags[(items >> np.uint64(53)).astype(int)] = True
+    large = np.packbits(flags, bitorder="little").view(np.uint64)[None]
+    assert len(small) == 128 and jaccard.halved(large).tobytes() == small
 
 
 def test_components_of_paths_and_hubs(spark):
