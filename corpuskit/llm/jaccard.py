@@ -29,7 +29,7 @@ WIDTH = 4
 PERCENT = 85
 LEAST_BITS, MOST_BITS = 10, 20
 BITS_PER_ITEM, WIDE_BITS_PER_ITEM = 4, 16
-TILE_ROWS = 256
+TILE_ROWS = 512
 MEMO_WORDS = 1_000_000
 MEMO_SETS = 200_000
 
