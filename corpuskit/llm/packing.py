@@ -155,40 +155,34 @@ def undominated_fillings(lengths: list[int], counts: dict[int, int], room: int,
     A filling is dominated if one of its items could be exchanged for a larger one on hand, or one
     more would fit; those are left out. The search goes from large items to small ones.
     """
-    found: list[tuple[int, list[int]]] = []
-    left, steps = dict(counts), STEPS
+    found: list[tuple[int, Counter]] = []
+    steps = STEPS
 
-    def dominated(items: list[int], waste: int) -> bool:
-        used = Counter(items)
+    def dominated(items: dict[int, int], waste: int) -> bool:
         for item in {*items, 0}:
             at = bisect_right(lengths, item + waste) - 1
             while at >= 0 and lengths[at] > item:
-                if counts[lengths[at]] > used[lengths[at]]:
+                if counts[lengths[at]] > items.get(lengths[at], 0):
                     return True
                 at -= 1
         return False
 
-    def search(items: list[int], rest: int, top: int) -> None:
+    def search(items: dict[int, int], rest: int, top: int) -> None:
+        """Goes one level deeper per distinct length, of which a filling has less than sqrt(2 * room)."""
         nonlocal steps
         steps -= 1
-        at = min(top, bisect_right(lengths, rest) - 1)
-        if rest == 0 or at < 0:
-            if not dominated(items, rest):
-                found.append((rest, list(items)))
-            return
-        tried = 0
-        while at >= 0 and steps > 0 and sum(waste == 0 for waste, _ in found) < wanted:
+        at, tried = min(top, bisect_right(lengths, rest) - 1), False
+        # The first way down takes as much of each length as fits; such a filling is never dominated.
+        while at >= 0 and (steps > 0 or not found):
             length = lengths[at]
-            if left[length]:
-                left[length] -= 1
-                items.append(length)
-                search(items, rest - length, at)
-                items.pop()
-                left[length] += 1
-                tried += 1
+            for times in range(min(counts[length], rest // length), 0, -1):
+                if found and (steps <= 0 or sum(waste == 0 for waste, _ in found) >= wanted):
+                    return
+                tried = True
+                search({**items, length: times}, rest - times * length, at - 1)
             at -= 1
         if not tried and not dominated(items, rest):
-            found.append((rest, list(items)))
+            found.append((rest, Counter(items)))
 
     # One or two items that fill the room exactly, before the general search.
     for big in reversed(lengths[: bisect_right(lengths, room)]):
@@ -196,12 +190,15 @@ def undominated_fillings(lengths: list[int], counts: dict[int, int], room: int,
             break
         small = room - big
         if counts[big] and (small == 0 or counts.get(small, 0) > (small == big)):
-            found.append((0, [big] if small == 0 else [big, small]))
+            found.append((0, Counter([big] if small == 0 else [big, small])))
     if not found:
-        search([], room, len(lengths) - 1)
-    found.sort(key=lambda f: (f[0], len(f[1])))
-    unique = list(dict.fromkeys((waste, tuple(items)) for waste, items in found))
-    return [Counter(items) for _, items in unique[:wanted]] or [Counter()]
+        search({}, room, len(lengths) - 1)
+    found.sort(key=lambda f: (f[0], f[1].total()))
+    unique = []
+    for _, filling in found:
+        if filling not in unique[:wanted]:
+            unique.append(filling)
+    return unique[:wanted]
 
 
 def completion_plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[int, Counter]]:
@@ -209,19 +206,20 @@ def completion_plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes:
 
     Depth-first: the first way down always takes the filling of least waste and is the incumbent.
     A branch is given up once its waste leaves no room for one sequence less than the incumbent;
-    the search ends when the incumbent meets the bound of total length, or after ``nodes`` nodes.
+    the search ends when the incumbent meets the bound of total length, or after ``nodes`` nodes, but
+    never before the first way down is done. A plan always holds every piece of ``histogram`` once.
     """
     total = sum(n * c for n, c in histogram.items())
     bound = -(-total // capacity)
     best, best_bins = None, math.inf
     # An open branch is its steps, chained back to front, and its waste; counts are worked out again on return.
     stack: list[tuple] = [(None, 0, 0)]
-    while stack and nodes > 0 and best_bins > bound:
+    while stack and (best is None or nodes > 0 and best_bins > bound):
         steps, bins, waste = stack.pop()
         counts = dict(histogram)
         for times, step in _forwards(steps):
             _take(counts, times, step)
-        while counts and nodes > 0:
+        while counts and (best is None or nodes > 0):
             nodes -= 1
             if best is not None and waste > (best_bins - 1) * capacity - total:
                 break
@@ -241,7 +239,12 @@ def completion_plan(histogram: dict[int, int], capacity: int = CAPACITY, nodes:
             _take(counts, *steps[1])
         if not counts and bins < best_bins:
             best, best_bins = steps, bins
-    return _forwards(best)
+    plan, placed = _forwards(best), Counter()
+    for times, step in plan:
+        placed.update({length: times * each for length, each in step.items()})
+    if placed != Counter(histogram):
+        raise RuntimeError("the packing plan does not hold every piece once")
+    return plan
 
 
 def _take(counts: dict[int, int], times: int, step: Counter) -> None:

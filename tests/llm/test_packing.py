@@ -69,6 +69,23 @@ def test_edge_texts(spark):
     check(picked, TEXTS, 4096)
 
 
+@pytest.mark.parametrize("histogram", [{1: 10_000}, {2: 5_000}, {1: 4_000, 2: 3_000, 3: 2_500, 4: 2_000}, {1: 9_000, 700: 3, 4096: 2}])
+def test_plan_of_very_many_short_pieces(histogram):
+    for nodes in (20_000, 1, 0):
+        plan = completion_plan(histogram, nodes=nodes)
+        placed = sum((Counter({n: times * k for n, k in step.items()}) for times, step in plan), Counter())
+        assert placed == Counter(histogram)
+        assert all(sum(n * k for n, k in step.items()) <= 4096 for _, step in plan)
+        assert sum(times for times, _ in plan) == -(-sum(n * c for n, c in histogram.items()) // 4096)
+
+
+def test_very_many_null_texts(spark):
+    df = spark.range(10_000).selectExpr("id as doc_id", "cast(null as string) as text")
+    got = [(r.id, r.piece, r.start, r.length, r.sequence_id, r.offset, r.ids) for r in pack(df, vocabulary()).collect()]
+    assert len(got) == 10_000
+    assert check(got, dict.fromkeys(range(10_000)), 4096) == 3
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id bigint, text string"), vocabulary()).count() == 0
 
