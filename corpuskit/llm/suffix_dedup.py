@@ -4,7 +4,7 @@ Every string of ``length`` bytes has an anchor: of its windows of 64 bytes the o
 which depends on the string alone. Strings can only be equal if their anchors are, so texts are cut
 into pieces, one per anchor, and only pieces whose anchor occurs again are looked at. Equal pieces
 are folded; the others of a shard get a suffix array and common prefixes. Pieces of a very common anchor are
-spread over shards, whose sorted strings are merged by binary search.
+spread over shards; each publishes its different strings once, and those of several shards are looked up in each of them.
 """
 
 from __future__ import annotations
@@ -306,45 +306,38 @@ def _compare(batches, length: int):
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), runs], names=["p", "runs"])
 
 
+def _prints(piece: bytes, length: int) -> list[bytes]:
+    """128-bit prints of the strings of a piece, one per start."""
+    return [xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(len(piece) - length + 1)]
+
+
 def _publish(batches, length: int):
-    """The strings of each shard of a spread anchor, in the order of their prints, a row per range of prints."""
-    key, salts, held = None, 0, {}
+    """Rows (h, salt, print): each different string of a shard of a spread anchor, once per shard."""
+    key, prints = None, set()
 
     def rows():
-        """Prints, pieces and starts of all strings of the shard, cut at borders that all shards of the anchor share."""
-        prints = np.array([xxhash.xxh3_128_intdigest(piece[i : i + length]) >> 65
-                           for piece in held.values() for i in range(len(piece) - length + 1)], np.int64)
-        counts = [len(piece) - length + 1 for piece in held.values()]
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        owners = np.repeat(np.array(list(held), np.int64), counts)[order]
-        starts = np.concatenate([np.arange(n) for n in counts])[order]
-        borders = (np.arange(1, salts, dtype=object) * ((1 << 63) // salts)).astype(np.int64)
-        cuts = np.concatenate([[0], np.searchsorted(prints, borders), [len(prints)]])
-        some = np.nonzero(np.diff(cuts))[0]
-        lists = [_lists([values[cuts[i] : cuts[i + 1]] for i in some]) for values in (prints, owners, starts)]
+        n = len(prints)
         return pa.RecordBatch.from_arrays(
-            [*(pa.array([v] * len(some), pa.int64()) for v in key), pa.array(some, pa.int64()), *lists],
-            names=["h", "salt", "range", "prints", "p", "at"])
+            [*(pa.array(np.full(n, v, np.int64)) for v in key), pa.array(list(prints), pa.binary())], names=["h", "salt", "print"])
 
     for batch in batches:
-        for h, salt, p, piece, count in zip(*(c.to_pylist() for c in batch.columns)):
+        for h, salt, piece in zip(*(c.to_pylist() for c in batch.columns)):
             if (h, salt) != key:
-                if held:
+                if prints:
                     yield rows()
-                key, salts, held = (h, salt), count, {}
-            held[p] = piece
-    if held:
+                key, prints = (h, salt), set()
+            prints.update(_prints(piece, length))
+    if prints:
         yield rows()
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Strings of one range of prints that another shard has, too: each shard is looked up in the union of all."""
-    shards = [tuple(np.array(v, np.int64) for v in row) for row in zip(*(table.column(c).to_pylist() for c in ("prints", "p", "at")))]
-    every, times = np.unique(np.concatenate([np.unique(prints) for prints, _, _ in shards]), return_counts=True)
-    found = [(p[again], at[again]) for prints, p, at in shards for again in [times[np.searchsorted(every, prints)] > 1]]
-    owners, starts = (np.concatenate(v) for v in zip(*found))
-    return pa.table({"p": pa.array(owners), "first": pa.array(starts), "last": pa.array(starts)})
+def _look_up(shard: pa.Table, shared: pa.Table, length: int) -> pa.Table:
+    """Runs of starts of a shard's strings that are among ``shared``, within pieces that are not repeated as a whole."""
+    known = set(shared.column("print").to_pylist())
+    pieces = {p: piece for p, piece, whole in zip(*(shard.column(c).to_pylist() for c in ("p", "piece", "whole"))) if not whole}
+    found = [(p, first, last) for p, piece in pieces.items() if known
+             for first, last in runs_of(np.array([x in known for x in _prints(piece, length)], bool))]
+    return pa.table({c: pa.array([r[i] for r in found], pa.int64()) for i, c in enumerate(("p", "first", "last"))})
 
 
 def repeated_runs(texts: DataFrame, length: int, per_shard: int) -> DataFrame:
@@ -367,12 +360,17 @@ def repeated_runs(texts: DataFrame, length: int, per_shard: int) -> DataFrame:
     shards = pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
     runs = shards.mapInArrow(partial(_compare, length=length), f"p bigint, runs {RUNS}").select("p", F.explode("runs").alias("r")).select("p", "r.*")
 
-    spread = anchors.where(F.col("pieces") > per_shard).select("h", salts.alias("salts"))
-    spread_pieces = pieces.join(spread, "h").select("h", "salt", "p", "piece", "salts")
-    published = spread_pieces.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(
-        partial(_publish, length=length),
-        "h bigint, salt bigint, range bigint, prints array<bigint>, p array<bigint>, at array<bigint>")
-    runs = runs.unionByName(published.groupBy("h", "range").applyInArrow(_merge, "p bigint, first bigint, last bigint"))
+    spread = anchors.where(F.col("pieces") > per_shard).select("h")
+    # At most about ``per_shard`` pieces a shard, so the strings of a shard, published or looked up, are bounded.
+    spread_pieces = materialise(pieces.join(spread, "h").select("h", "salt", "p", "whole", "piece"), "spread")
+    published = spread_pieces.select("h", "salt", "piece").repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(
+        partial(_publish, length=length), "h bigint, salt bigint, print binary")
+    published = materialise(published, "published")
+    # Two steps: tasks first reduce what they read, so a print counts at most once a task whatever its occurrences.
+    several = published.groupBy("h", "print").agg(F.min("salt").alias("low"), F.max("salt").alias("high")).where("low <> high")
+    shared = published.join(several.select("h", "print"), ["h", "print"], "left_semi")
+    runs = runs.unionByName(spread_pieces.groupBy("h", "salt").cogroup(shared.groupBy("h", "salt")).applyInArrow(
+        lambda shard, prints: _look_up(shard, prints, length), "p bigint, first bigint, last bigint"))
 
     relative = materialise(runs.groupBy("p").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     whole = found.join(prints.where("whole").select("h", "p"), ["h", "p"]).select("t", "first", "last")

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuskit.llm import suffix_dedup
@@ -59,6 +60,21 @@ def test_against_counting(spark, how):
     assert check(spark, corpus(1), **how) > 40
 
 
+def test_a_shard_publishes_each_string_once():
+    string, rng = bytes(range(250)) + bytes(150), random.Random(5)
+    pieces = [rng.randbytes(3) + string + rng.randbytes(3) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"h": [1] * 500, "salt": [0] * 250 + [1] * 250, "piece": pieces})
+    prints = [(r["salt"], r["print"]) for b in suffix_dedup._publish([batch], 400) for r in b.to_pylist()]
+    assert len(prints) == len(set(prints)) == len({(n // 250, p[i : i + 400]) for n, p in enumerate(pieces) for i in range(7)})
+
+
+def test_a_string_of_very_many_documents(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(410))
+    rows = [(i, f"{i:04d}" * 20 + passage + f"{i:05d}" * 20) for i in range(600)] + [(i, words(rng, 80)) for i in range(600, 620)]
+    assert check(spark, rows, per_shard=16) >= 600
+
+
 def test_shorter_strings(spark):
     assert check(spark, corpus(2, 40), length=100) > 40
 
