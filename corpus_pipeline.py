@@ -37,8 +37,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in the packed sequences."""
-    packed = packing.pack(docs, vocabulary(), keep={"ids_crc32": F.crc32("ids")})
+    """Pieces of at most 4096 tokens and their places in the packed sequences, which are numbered in the order of the mix.
+
+    No table keeps an order, so the places in the mix, which depend on the documents alone, are worked out again.
+    """
+    mixed = mixing.mix_sources(docs, carry=["doc_id", "text"]).select("row.*", "slot", "before")
+    packed = packing.pack(mixed, vocabulary(), keep={"ids_crc32": F.crc32("ids")}, order=["slot", "before"])
     return packed.withColumnRenamed("id", "doc_id")
 
 

@@ -286,29 +286,43 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     keep: dict[str, Column] | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """Packs the documents of ``df`` into sequences of at most ``capacity`` ids.
 
     A row per piece: ``id``, ``piece``, ``start``, ``length``, ``sequence_id``, ``offset``, and what ``keep``
     names, expressions over the piece's ``ids``; by default ``ids`` themselves. Every row of ``df`` is a
     document of its own, also with a null or repeated id or an equal text. An empty table gives no piece.
+
+    ``order`` names columns of ``df``, none of them null, that say which documents come first: pieces of a length are
+    handed out in that order, and sequences are numbered by their first piece, which is their longest.
     """
-    pieces = tokenized_pieces(df, vocabulary, id_col, text_col, capacity, end_id)
+    places = [f"_by{i}" for i in range(len(order or []))]
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), *[F.col(f"`{c}`").alias(p) for c, p in zip(order or [], places)])
+    keyed = df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    pieces = tokenized_pieces(keyed, vocabulary, "key", "text", capacity, end_id).withColumnRenamed("id", "key")
     kept = keep or {"ids": F.col("ids")}
-    made = materialise(pieces.select("id", "piece", "start", "length", *[c.alias(n) for n, c in kept.items()]), "pieces")
+    made = materialise(pieces.select("key.*", "piece", "start", "length", *[c.alias(n) for n, c in kept.items()]), "pieces")
     numbered = made.withColumn("_no", F.monotonically_increasing_id())
     # At most ``capacity`` rows.
     histogram = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}
     rows = placement(completion_plan(histogram, capacity))
     plan = df.sparkSession.createDataFrame(
         rows, "at_length bigint, first_rank bigint, end_rank bigint, first_sequence bigint, each bigint, first_offset bigint")
-    ranked = row_numbers(numbered, ["length"], [F.col("_no").asc()], "_rank").withColumn("_rank", F.col("_rank") - 1)
+    ranked = row_numbers(numbered, ["length"], [*[F.col(p).asc() for p in places], F.col("_no").asc()], "_rank").withColumn("_rank", F.col("_rank") - 1)
     # A few rows per length, and at most ``capacity`` lengths.
     placed = ranked.join(
         F.broadcast(plan),
         (F.col("length") == F.col("at_length")) & F.col("_rank").between(F.col("first_rank"), F.col("end_rank") - 1))
     nth = F.col("_rank") - F.col("first_rank")
-    return placed.select(
+    packed = placed.select(
         "id", "piece", "start", "length", *kept,
         (F.col("first_sequence") + F.expr("(_rank - first_rank) div each")).alias("sequence_id"),
-        (F.col("first_offset") + nth % F.col("each") * F.col("length")).alias("offset"))
+        (F.col("first_offset") + nth % F.col("each") * F.col("length")).alias("offset"), *places)
+    if not places:
+        return packed
+    packed = materialise(packed, "packed")
+    leading = packed.where("offset = 0").select(F.col("sequence_id").alias("_planned"), *places).withColumn("_all", F.lit(0))
+    numbers = row_numbers(leading, ["_all"], [F.col(c).asc() for c in [*places, "_planned"]], "_number")
+    renamed = packed.join(numbers.select("_planned", "_number"), F.col("sequence_id") == F.col("_planned"))
+    return renamed.withColumn("sequence_id", F.col("_number") - 1).select("id", "piece", "start", "length", *kept, "sequence_id", "offset")

@@ -80,6 +80,20 @@ def test_run_is_the_stages_in_a_row(spark, kept):
     assert same(corpus_pipeline.run(spark, SF_DIR).collect()) == same(kept["pack_sequences"])
 
 
+def test_sequences_follow_the_mix(spark):
+    """A source of long documents and one of short ones keep their shares along the sequences."""
+    rows = [(i, "some words of text " * 800, "en", "long", 0) for i in range(160)]
+    rows += [(1000 + i, "some words of text " * (20 + i % 9), "en", "short", 0) for i in range(5300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    got = corpus_pipeline.pack_sequences(spark, docs, SF_DIR).collect()
+    last = max(r.sequence_id for r in got)
+    assert {r.sequence_id for r in got} == set(range(last + 1))
+    share = sum(r.length for r in got if r.doc_id < 1000) / sum(r.length for r in got)
+    for quarter in range(4):
+        part = [r for r in got if 4 * r.sequence_id // (last + 1) == quarter]
+        assert abs(sum(r.length for r in part if r.doc_id < 1000) / sum(r.length for r in part) - share) < 0.2
+
+
 def test_odd_rows_pass_through_all_stages(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "!!! 123", "en", "a", 7), (None, "some words without an id", None, "b", 3),
             (4, "the text of a document", "en", None, 1), (4, "the text of a document", "en", None, 1), (5, "the  text of a document", "en", "a", 1),
