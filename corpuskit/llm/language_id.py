@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.sampling import picked
+
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 SMOOTHING = 0.5
@@ -25,6 +27,8 @@ RESULT = "lang_pred string, score double"
 SAMPLE_DOCS = 20_000
 MODEL_WORDS = 200_000
 MODEL_GRAMS = 200_000
+# Words (or n-grams) times languages: with many languages the model knows fewer words of each.
+MODEL_NUMBERS = 4_000_000
 MEMO_WORDS = 500_000
 # Words beyond this number make a verdict no surer.
 EVIDENCE_WORDS = 50
@@ -40,23 +44,54 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Frequencies:
+    """Log frequencies of names (words or n-grams) per language, as one matrix with a row per name.
+
+    Copies that are sent to workers hold the names as one text; each worker numbers them once.
+    """
+
+    names: list[str]
+    table: np.ndarray
+    rows: dict[str, int] = field(init=False, repr=False)
+
+    def __post_init__(self):
+        self.rows = {name: i for i, name in enumerate(self.names)}
+
+    def __getstate__(self):
+        return "\n".join(self.names), self.table  # no name holds a line end
+
+    def __setstate__(self, state):
+        names, self.table = state
+        self.names = names.split("\n") if len(self.table) else []
+        self.__post_init__()
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.rows
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.table[self.rows[name]]
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies per language (columns, in the order of ``langs``) of words and n-grams."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: Frequencies
+    grams: Frequencies
 
     def word_scores(self, word: str) -> np.ndarray:
         """Per language; words that nothing is known of count for no language."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        if word in self.words:
+            return self.words[word]
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [g for g in map(self.grams.get, grams_of(word, n)) if g is not None]
+            found = [at for at in map(self.grams.rows.get, grams_of(word, n)) if at is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.grams.table[found].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
     def verdict(self, total: np.ndarray, words: int) -> tuple[str, float]:
@@ -121,21 +156,22 @@ def _count_grams(batches):
         yield pa.RecordBatch.from_pydict(dict(zip(("lang", "word", "n"), map(list, zip(*rows))))) if rows else _no_counts()
 
 
-def _frequencies(counts: DataFrame, langs: list[str], most: int, total_by) -> dict[str, np.ndarray]:
-    """Log frequencies of the ``most`` frequent words (or n-grams) from rows (lang, word, n)."""
+def _frequencies(counts: DataFrame, langs: list[str], most: int, kind_of) -> Frequencies:
+    """Log frequencies of the ``most`` frequent words (or n-grams) from rows (lang, word, n).
+
+    Each kind of name has a total of its own. Names and counts reach the driver as Arrow columns, a few bytes a number.
+    """
+    most = max(1, min(most, MODEL_NUMBERS // max(1, len(langs))))
     each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-    wide = counts.groupBy("word").agg(F.sum("n").alias("n"), *each).where("n > 1")
-    rows = wide.orderBy(F.desc("n"), "word").limit(most).collect()
-    if not rows:
-        return {}
-    names = [r[0] for r in rows]
-    table = np.array([r[2:] for r in rows], dtype=float) + SMOOTHING
-    kinds = np.array([total_by(name) for name in names])
-    out = np.empty_like(table)
-    for kind in np.unique(kinds):
-        rows_of = kinds == kind
-        out[rows_of] = np.log(table[rows_of] / table[rows_of].sum(axis=0))
-    return dict(zip(names, out))
+    wide = counts.groupBy("word").agg(F.sum("n").alias("n"), *each)
+    found = wide.orderBy(F.desc("n"), "word").limit(most).drop("n").toArrow()
+    names = found.column("word").to_pylist()
+    kinds = np.fromiter(map(kind_of, names), np.int64, len(names))
+    table = np.empty((len(names), len(langs)), np.float32)
+    for i in range(len(langs)):
+        numbers = found.column(f"n{i}").to_numpy() + SMOOTHING
+        table[:, i] = np.log(numbers / np.bincount(kinds, numbers)[kinds]) if len(names) else 0
+    return Frequencies(names, table)
 
 
 def fit_languages(
@@ -146,16 +182,17 @@ def fit_languages(
     model_words: int = MODEL_WORDS,
     model_grams: int = MODEL_GRAMS,
 ) -> LanguageModel:
-    """A model from labelled rows: about ``sample_docs`` of them, picked by the hash of the text.
+    """A model from labelled rows: about ``sample_docs`` different ones, picked by the hash of text and label.
 
-    Rows without text or label teach nothing. At most ``model_words`` words and ``model_grams`` n-grams
-    are kept, the most frequent ones. Without labelled rows the model knows no language.
+    Rows without text or label teach nothing, and equal ones teach once, however common they are. At most ``model_words`` words and ``model_grams`` n-grams
+    are kept, the most frequent ones, also those that occur once; above 20 languages fewer (``MODEL_NUMBERS``). Without
+    labelled rows the model knows no language.
     """
     labelled = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     labelled = labelled.where("text is not null and lang is not null")
-    share = min(1.0, sample_docs / max(1, df.where(F.col(f"`{lang_col}`").isNotNull()).count()))
-    picked = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    counts = picked.mapInArrow(_count_words, "lang string, word string, n bigint")
+    rows = df.where(F.col(f"`{lang_col}`").isNotNull()).count()
+    different = labelled.where(picked(["text", "lang"], sample_docs, rows)).dropDuplicates(["lang", "text"])
+    counts = different.mapInArrow(_count_words, "lang string, word string, n bigint")
     counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     try:
         langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
@@ -190,7 +227,12 @@ def language_of(df: DataFrame, model: LanguageModel, text: Column) -> Column:
 
 
 def identify_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per row of ``df``: ``id``, ``lang_pred``, ``score``. Null and repeated ids are rows like any other."""
+    """A row per row of ``df``: ``id``, ``lang_pred``, ``score``.
+
+    Null and repeated ids are rows like any other. A null or empty text, and one without a letter, is ``und`` with score 0. Texts
+    are read whole, however long; languages of equal score tie to the first in alphabetical order. An empty table gives no row, and
+    other columns do not matter.
+    """
     found = language_of(df, model, F.col(f"`{text_col}`")).alias("found")
     return df.select(F.col(f"`{id_col}`").alias("id"), found).select("id", "found.lang_pred", "found.score")
 

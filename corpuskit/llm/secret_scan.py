@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.llm.sampling import picked
+
 # The patterns of the contract, with the least length of what they find.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(
@@ -231,15 +233,14 @@ def fit_formats(
     df: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, credentials: int = CREDENTIALS,
     other_tokens: int = OTHER_TOKENS, alpha: float = ALPHA,
 ) -> FormatModel:
-    """Formats learnt from about ``sample_docs`` rows, picked by the hash of their text.
+    """Formats learnt from about ``sample_docs`` different texts, picked by the hash of their text.
 
     At most ``credentials`` different examples of a kind and ``other_tokens`` other tokens are used, picked
     by hash. Examples of over 256 characters teach nothing. The scan itself covers all rows.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    share = min(1.0, sample_docs / max(1, df.count()))
-    picked = df.select(text).where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = picked.mapInArrow(_examples, "kind string, token string").distinct().persist()
+    different = df.select(text).where(picked(["text"], sample_docs, df.count())).dropDuplicates(["text"])
+    found = different.mapInArrow(_examples, "kind string, token string").distinct().persist()
     try:
         by_kind = {}
         for kind, most in [*((k, credentials) for k in KINDS), (LEARNT, other_tokens)]:

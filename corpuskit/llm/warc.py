@@ -20,6 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.llm.sampling import picked
 from corpuskit.session import materialise
 
 # Fixed values of the formats.
@@ -50,11 +51,10 @@ def train_dictionary(
     content of an archive. Too small a sample gives no dictionary.
     """
     head = F.substring(F.col(f"`{payload_col}`").cast("binary"), 1, page_bytes).alias("head")
-    share = min(1.0, 2 * pages / max(1, df.count()))
-    some = F.pmod(F.xxhash64("head"), F.lit(1 << 20)) < int(share * (1 << 20))
+    some = picked(["head"], 2 * pages, df.count())
     # Taken from one partition after the other, so that no more than ``pages`` of them get here.
-    picked = df.select(head).where(some & (F.length("head") > 0)).limit(pages)
-    samples = [bytes(row.head) for row in picked.collect()]
+    heads = df.select(head).where(some & (F.length("head") > 0)).limit(pages)
+    samples = [bytes(row.head) for row in heads.collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
