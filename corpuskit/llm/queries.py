@@ -85,7 +85,8 @@ def op8_suffix_array_dedup(spark, sf_dir):
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(
         F.col("id").alias("doc_id"), "n_bytes", F.expr("n_bytes - octet_length(kept)").alias("n_removed"),
-        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("bigint").alias("n_kept"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op9_secret_scan(spark, sf_dir):

@@ -3,13 +3,19 @@
 Every string of ``length`` bytes has an anchor: of its windows of 64 bytes the one with the smallest hash,
 which depends on the string alone. Strings can only be equal if their anchors are, so texts are cut
 into pieces, one per anchor, and only pieces whose anchor occurs again are looked at. Equal pieces
-are folded; the others of a shard get a suffix array and common prefixes. Pieces of a very common anchor are
-spread over shards; each publishes its different strings once, and those of several shards are looked up in each of them.
+are folded; the others of a shard get a suffix array and common prefixes.
+
+Pieces of a very common anchor are spread over shards, which are then merged. Since a string is told by how far it reaches to
+both sides of its anchor, shards first publish a few prints a piece: each of what all strings of a range of
+reaches must share. Only ranges that several shards have are looked at more finely, down to single strings; those
+are found by binary search in the suffix array of each shard, byte by byte.
 """
 
 from __future__ import annotations
 
-from functools import partial
+import bisect
+from functools import partial, reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,8 @@ ANCHOR = 64
 CHUNK = 1 << 20
 SHARD_BYTES = 1 << 20
 PIECES_PER_SHARD = 1024
+# Reaches to the left of an anchor that are told apart, from one merging step to the next.
+STEPS = (48, 8, 1)
 
 _BASE = 0x9E3779B97F4A7C15
 _POSITION_BITS = 21
@@ -227,7 +235,9 @@ def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
 # --- stages -------------------------------------------------------------------------------------
 
 RUNS = "array<struct<first: bigint, last: bigint>>"
-CUT = "t bigint, h array<bigint>, p array<bigint>, first array<bigint>, last array<bigint>"
+# A text is named by two hashes (t, u), 96 bits; a piece by a 128-bit hash in two halves (p, q).
+CUT = "t bigint, u int, h array<bigint>, p array<bigint>, q array<bigint>, first array<bigint>, last array<bigint>"
+PIECES = "h bigint, salt bigint, p bigint, q bigint, whole boolean, piece binary"
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -235,53 +245,60 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64), pa.int64()))
 
 
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """128-bit hashes as two columns of longs."""
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
 def _cut(batches, length: int):
     seen = set()
     for batch in batches:
-        ids, out = [], ([], [], [], [])
-        for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if t in seen:
+        names, out = ([], []), ([], [], [], [], [])
+        for name, text in zip(zip(*(batch.column(i).to_pylist() for i in (0, 1))), batch.column(2)):
+            if name in seen:
                 continue
-            seen.add(t)
+            seen.add(name)
             if len(seen) > 1_000_000:
                 seen.clear()
             raw = text.as_py()
             h, first, last = pieces_of(raw, length)
-            prints = [xxhash.xxh3_64_intdigest(raw[a : b + length]) - (1 << 63) for a, b in zip(first.tolist(), last.tolist())]
-            ids.append(t)
-            for column, values in zip(out, (h, np.array(prints, np.int64), first, last)):
+            prints = _halves([xxhash.xxh3_128_digest(raw[a : b + length]) for a, b in zip(first.tolist(), last.tolist())])
+            for column, value in zip(names, name):
+                column.append(value)
+            for column, values in zip(out, (h, prints[:, 0], prints[:, 1], first, last)):
                 column.append(values)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(_lists, out)], names=["t", "h", "p", "first", "last"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[0], pa.int64()), pa.array(names[1], pa.int32()), *map(_lists, out)], names=["t", "u", "h", "p", "q", "first", "last"])
 
 
 def occurrences(texts: DataFrame, length: int) -> DataFrame:
-    """A row per piece of every text: anchor ``h``, print ``p`` of its bytes, text ``t``, ``first`` and ``last`` start."""
-    cut = materialise(texts.select("t", "text").where(F.length("text") >= length).mapInArrow(partial(_cut, length=length), CUT), "cut")
-    each = cut.select("t", F.explode(F.arrays_zip("h", "p", "first", "last")).alias("o"))
-    return each.select("o.h", "o.p", "t", "o.first", "o.last")
+    """A row per piece of every text: anchor ``h``, name ``p, q`` of its bytes, text ``t, u``, ``first`` and ``last`` start."""
+    cut = materialise(texts.select("t", "u", "text").where(F.length("text") >= length).mapInArrow(partial(_cut, length=length), CUT), "cut")
+    each = cut.select("t", "u", F.explode(F.arrays_zip("h", "p", "q", "first", "last")).alias("o"))
+    return each.select("o.h", "o.p", "o.q", "t", "u", "o.first", "o.last")
 
 
 def _fetch(batches, length: int):
     """Bytes of the pieces that are asked for; a text that comes again in a task is left out."""
     seen = set()
     for batch in batches:
-        rows = {k: [] for k in ("h", "salt", "p", "whole", "piece")}
-        for t, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            if t in seen:
+        rows = {k: [] for k in ("h", "salt", "p", "q", "whole", "piece")}
+        for name, text, wanted in zip(zip(*(batch.column(i).to_pylist() for i in (0, 1))), batch.column(2), batch.column(3)):
+            if name in seen:
                 continue
-            seen.add(t)
+            seen.add(name)
             raw = text.as_py()
             for w in wanted.as_py():
-                for k in ("h", "salt", "p", "whole"):
+                for k in ("h", "salt", "p", "q", "whole"):
                     rows[k].append(w[k])
                 rows["piece"].append(raw[w["first"] : w["last"] + length])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows["h"], pa.int64()), pa.array(rows["salt"], pa.int64()), pa.array(rows["p"], pa.int64()),
-             pa.array(rows["whole"], pa.bool_()), pa.array(rows["piece"], pa.binary())], names=list(rows))
+            [*(pa.array(rows[k], pa.int64()) for k in ("h", "salt", "p", "q")), pa.array(rows["whole"], pa.bool_()), pa.array(rows["piece"], pa.binary())],
+            names=list(rows))
 
 
 def _shards(batches):
-    """Lists of rows (h, salt, p, whole, piece) of about ``SHARD_BYTES``; no (h, salt) is in two of them."""
+    """Lists of rows (h, salt, p, q, whole, piece) of about ``SHARD_BYTES``; no (h, salt) is in two of them."""
     held, size, last = {}, 0, None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -289,94 +306,158 @@ def _shards(batches):
                 yield list(held.values())
                 held, size = {}, 0
             last = row[:2]
-            if row[2] not in held:  # a text of several tasks may send its pieces more than once
-                held[row[2]] = row
-                size += len(row[4])
+            if row[:4] not in held:  # a text of several tasks may send its pieces more than once
+                held[row[:4]] = row
+                size += len(row[5])
     if held:
         yield list(held.values())
 
 
+def _runs(names: list[tuple[int, int, int]], flags: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows (h, p, q, first, last) of the runs of each piece's flags."""
+    rows = [(*name, first, last) for name, f in zip(names, flags) for first, last in runs_of(f)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["h", "p", "q", "first", "last"])
+
+
+RUN = "h bigint, p bigint, q bigint, first bigint, last bigint"
+
+
 def _compare(batches, length: int):
     """Runs of repeated starts within each piece that is not repeated as a whole."""
     for shard in _shards(batches):
-        flags = repeated_starts([row[4] for row in shard], length)
-        found = [(row[2], runs_of(f)) for row, f in zip(shard, flags) if not row[3] and f.any()]
-        runs = pa.array([[{"first": a, "last": b} for a, b in r] for _, r in found],
-                        pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), runs], names=["p", "runs"])
+        flags = repeated_starts([row[5] for row in shard], length)
+        found = [((row[0], row[2], row[3]), f) for row, f in zip(shard, flags) if not row[4] and f.any()]
+        yield _runs([name for name, _ in found], [f for _, f in found])
 
 
-def _prints(piece: bytes, length: int) -> list[bytes]:
-    """128-bit prints of the strings of a piece, one per start."""
-    return [xxhash.xxh3_128_digest(piece[i : i + length]) for i in range(len(piece) - length + 1)]
+# --- merging shards -----------------------------------------------------------------------------
 
 
-def _publish(batches, length: int):
-    """Rows (h, salt, print): each different string of a shard of a spread anchor, once per shard."""
-    key, prints = None, set()
+def anchor_place(piece: bytes, length: int) -> int:
+    """Where the anchor of all strings of a piece stands in it."""
+    low, high = len(piece) - length, length - ANCHOR  # within the last string and the first one
+    keys = (window_hashes(np.frombuffer(piece, np.uint8)) & ~_POSITIONS) | np.arange(len(piece) - ANCHOR + 1, dtype=np.uint64)
+    return low + int(keys[low : high + 1].argmin())
 
-    def rows():
-        n = len(prints)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(np.full(n, v, np.int64)) for v in key), pa.array(list(prints), pa.binary())], names=["h", "salt", "print"])
 
-    for batch in batches:
-        for h, salt, piece in zip(*(c.to_pylist() for c in batch.columns)):
-            if (h, salt) != key:
-                if prints:
-                    yield rows()
-                key, prints = (h, salt), set()
-            prints.update(_prints(piece, length))
-    if prints:
-        yield rows()
+def shared_contexts(piece: bytes, length: int, width: int) -> dict[int, bytes]:
+    """By range of ``width`` reaches to the left of the anchor: the bytes that all strings of the range hold."""
+    at = anchor_place(piece, length)
+    least = at - (len(piece) - length)
+    out = {}
+    for k in range(least // width, at // width + 1):
+        left, right = k * width, max(0, length - ANCHOR - (k + 1) * width + 1)
+        out[k] = piece[at - left : at + ANCHOR + right]
+    return out
+
+
+def _print(k: int, context: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(context, seed=k)
 
 
-def _look_up(shard: pa.Table, shared: pa.Table, length: int) -> pa.Table:
-    """Runs of starts of a shard's strings that are among ``shared``, within pieces that are not repeated as a whole."""
-    known = set(shared.column("print").to_pylist())
-    pieces = {p: piece for p, piece, whole in zip(*(shard.column(c).to_pylist() for c in ("p", "piece", "whole"))) if not whole}
-    found = [(p, first, last) for p, piece in pieces.items() if known
-             for first, last in runs_of(np.array([x in known for x in _prints(piece, length)], bool))]
-    return pa.table({c: pa.array([r[i] for r in found], pa.int64()) for i, c in enumerate(("p", "first", "last"))})
+def _publish(shard: pa.Table, shared: pa.Table | None, length: int, step: int) -> pa.Table:
+    """Rows (h, salt, print, string): each different context of a shard once, in the ranges that ``shared`` leaves open.
+
+    ``string`` is the context itself in the last step, where it is a single string, and null before.
+    """
+    width, last = STEPS[step], step == len(STEPS) - 1
+    known = set(shared.column("print").to_pylist()) if step else None
+    found = {}
+    for piece in set(shard.column("piece").to_pylist()) if not step or known else ():
+        if step:
+            before = STEPS[step - 1]
+            open_ = {k for k, context in shared_contexts(piece, length, before).items() if _print(k, context) in known}
+        for k, context in shared_contexts(piece, length, width).items() if not step or open_ else ():
+            if not step or k * width // before in open_:
+                found[_print(k, context)] = context if last else None
+    h, salt = (shard.column(c)[0].as_py() if shard.num_rows else 0 for c in ("h", "salt"))
+    return pa.table({
+        "h": pa.array([h] * len(found), pa.int64()), "salt": pa.array([salt] * len(found), pa.int64()),
+        "print": pa.array(list(found), pa.binary()), "string": pa.array(list(found.values()), pa.binary())})
+
+
+def _publisher(length: int, step: int):
+    return lambda shard, shared: _publish(shard, shared, length, step)
+
+
+def places_of(strings: list[bytes], data: bytes, ends: np.ndarray, order: np.ndarray) -> list[int]:
+    """Starts of all suffixes that begin with one of ``strings``, by binary search in the suffix array."""
+    piece_end = np.repeat(ends, np.diff(ends, prepend=0)).tolist()
+    order, out = order.tolist(), []
+    for string in strings:
+        head = lambda i: data[i : min(i + len(string), piece_end[i])]  # noqa: B023, E731
+        low = bisect.bisect_left(order, string, key=head)
+        high = bisect.bisect_right(order, string, lo=low, key=head)
+        out += order[low:high]
+    return out
+
+
+def _merge(shard: pa.Table, shared: pa.Table, length: int) -> pa.Table:
+    """Runs of starts of a shard's strings that are among those which several shards have, in pieces that are not repeated as a whole."""
+    rows = {(h, p, q): (piece, whole) for h, p, q, piece, whole in zip(*(shard.column(c).to_pylist() for c in ("h", "p", "q", "piece", "whole")))}
+    flags = np.zeros(sum(len(piece) for piece, _ in rows.values()), bool)
+    ends = np.cumsum([len(piece) for piece, _ in rows.values()])
+    if shared.num_rows and rows:
+        data = b"".join(piece for piece, _ in rows.values())
+        order = suffix_array(np.frombuffer(data, np.uint8), ends)
+        flags[places_of(shared.column("string").to_pylist(), data, ends, order)] = True
+    own = [(name, flags[end - len(piece) : end - length + 1]) for (name, (piece, whole)), end in zip(rows.items(), ends) if not whole]
+    return pa.Table.from_batches([_runs([name for name, _ in own], [f for _, f in own])])
+
+
+def merged_runs(pieces: DataFrame, length: int) -> DataFrame:
+    """Runs of strings that several shards of an anchor have.
+
+    A shard has about ``per_shard`` pieces at most, which bounds what it publishes and what comes back to it. Prints are reduced by
+    tasks before they are shuffled, so one that very many shards have does not gather.
+    """
+    shards, shared = pieces.groupBy("h", "salt"), None
+    kind = "h bigint, salt bigint, print binary, string binary"
+    for step in range(len(STEPS)):
+        if shared is None:
+            published = shards.applyInArrow(lambda shard: _publish(shard, None, length, 0), kind)
+        else:
+            published = shards.cogroup(shared.groupBy("h", "salt")).applyInArrow(_publisher(length, step), kind)
+        published = materialise(published, "published")
+        several = published.groupBy("h", "print").agg(
+            F.min("salt").alias("low"), F.max("salt").alias("high"), F.min("string").alias("string")).where("low <> high")
+        shared = published.drop("string").join(several.select("h", "print", "string"), ["h", "print"])
+    return shards.cogroup(shared.groupBy("h", "salt")).applyInArrow(lambda shard, strings: _merge(shard, strings, length), RUN)
+
+
+# --- the operator -------------------------------------------------------------------------------
 
 
 def repeated_runs(texts: DataFrame, length: int, per_shard: int) -> DataFrame:
-    """``t`` and ``runs`` of starts, of the texts with a string of ``length`` bytes that occurs elsewhere in other texts or itself."""
+    """``t``, ``u`` and ``runs`` of starts, of the texts with a string of ``length`` bytes that occurs elsewhere in other texts or itself."""
     found = materialise(occurrences(texts, length), "occurrences")
-    place = F.xxhash64("t", "first")
-    prints = found.groupBy("h", "p").agg(
-        (F.min(place) != F.max(place)).alias("whole"), *[F.min_by(c, place).alias(c) for c in ("t", "first", "last")])
+    at = ["t", "u", "first", "last"]
+    place = F.xxhash64("t", "u", "first")
+    whole = reduce(or_, [F.min(c) != F.max(c) for c in at[:3]])
+    prints = found.groupBy("h", "p", "q").agg(whole.alias("whole"), *[F.min_by(c, place).alias(c) for c in at])
     prints = materialise(prints, "prints")
     # An anchor needs comparing if it has several pieces of which one is not repeated as a whole.
     anchors = prints.groupBy("h").agg(F.count(F.lit(1)).alias("pieces"), F.bool_and("whole").alias("done"))
     anchors = materialise(anchors.where("pieces > 1 and not done"), "anchors")
     salts = F.ceil(F.col("pieces") / per_shard)
     asked = prints.join(anchors.select("h", salts.alias("salts")), "h").withColumn("salt", F.pmod(F.xxhash64("p"), "salts"))
-    wanted = asked.groupBy("t").agg(F.collect_list(F.struct("h", "salt", "p", "whole", "first", "last")).alias("wanted"))
+    wanted = asked.groupBy("t", "u").agg(F.collect_list(F.struct("h", "salt", "p", "q", "whole", "first", "last")).alias("wanted"))
     wanted = materialise(wanted, "wanted")
-    pieces = texts.select("t", "text").join(wanted, "t").mapInArrow(
-        partial(_fetch, length=length), "h bigint, salt bigint, p bigint, whole boolean, piece binary")
+    pieces = texts.select("t", "u", "text").join(wanted, ["t", "u"]).mapInArrow(partial(_fetch, length=length), PIECES)
     pieces = materialise(pieces, "pieces")
     shards = pieces.repartition("h", "salt").sortWithinPartitions("h", "salt")
-    runs = shards.mapInArrow(partial(_compare, length=length), f"p bigint, runs {RUNS}").select("p", F.explode("runs").alias("r")).select("p", "r.*")
+    runs = shards.mapInArrow(partial(_compare, length=length), RUN)
 
     spread = anchors.where(F.col("pieces") > per_shard).select("h")
-    # At most about ``per_shard`` pieces a shard, so the strings of a shard, published or looked up, are bounded.
-    spread_pieces = materialise(pieces.join(spread, "h").select("h", "salt", "p", "whole", "piece"), "spread")
-    published = spread_pieces.select("h", "salt", "piece").repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(
-        partial(_publish, length=length), "h bigint, salt bigint, print binary")
-    published = materialise(published, "published")
-    # Two steps: tasks first reduce what they read, so a print counts at most once a task whatever its occurrences.
-    several = published.groupBy("h", "print").agg(F.min("salt").alias("low"), F.max("salt").alias("high")).where("low <> high")
-    shared = published.join(several.select("h", "print"), ["h", "print"], "left_semi")
-    runs = runs.unionByName(spread_pieces.groupBy("h", "salt").cogroup(shared.groupBy("h", "salt")).applyInArrow(
-        lambda shard, prints: _look_up(shard, prints, length), "p bigint, first bigint, last bigint"))
-
-    relative = materialise(runs.groupBy("p").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
-    whole = found.join(prints.where("whole").select("h", "p"), ["h", "p"]).select("t", "first", "last")
-    some = found.join(relative, "p").select("t", F.col("first").alias("at"), F.explode("runs").alias("r")).select(
-        "t", (F.col("at") + F.col("r.first")).alias("first"), (F.col("at") + F.col("r.last")).alias("last"))
-    return whole.unionByName(some).groupBy("t").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    spread_pieces = materialise(pieces.join(spread, "h").select("h", "salt", "p", "q", "whole", "piece"), "spread")
+    runs = runs.unionByName(merged_runs(spread_pieces, length))
+
+    relative = materialise(runs.groupBy("h", "p", "q").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
+    whole = found.join(prints.where("whole").select("h", "p", "q"), ["h", "p", "q"]).select(*at)
+    some = found.join(relative, ["h", "p", "q"]).select("t", "u", F.col("first").alias("at"), F.explode("runs").alias("r")).select(
+        "t", "u", (F.col("at") + F.col("r.first")).alias("first"), (F.col("at") + F.col("r.last")).alias("last"))
+    return whole.unionByName(some).groupBy("t", "u").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def _remove(batches, length: int):
@@ -408,16 +489,16 @@ def remove_repeats(
 
     A byte is removed if a string of ``length`` bytes over it starts anywhere else too, in the same text or
     another row; strings are judged by the input. A null text is empty; texts shorter than ``length``
-    are kept. Null and repeated ids are rows like any other, so of repeated long rows nothing is kept. An empty
-    table gives no row. Spans may cut a character in two, which is why ``kept`` is binary.
+    are kept, and longer ones are read whole. Null and repeated ids are rows like any other, so of repeated long rows nothing is kept. An empty
+    table gives no row, and other columns do not matter. Spans may cut a character in two, which is why ``kept`` is binary.
     """
     kind = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("t", F.xxhash64("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumns({"t": F.xxhash64("text"), "u": F.hash("text")})
     with temporary_copies(df.sparkSession) as staying:
-        copies = materialise(rows.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t", F.lit(True).alias("copies")), "copies")
+        copies = materialise(rows.groupBy("t", "u").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("t", "u", F.lit(True).alias("copies")), "copies")
         runs = repeated_runs(rows, length, per_shard)
-        fates = materialise(runs.join(copies, "t", "full"), "fates")
+        fates = materialise(runs.join(copies, ["t", "u"], "full"), "fates")
         staying.append(fates)
-    joined = rows.join(fates, "t", "left").select("id", "text", "runs", "copies")
+    joined = rows.join(fates, ["t", "u"], "left").select("id", "text", "runs", "copies")
     return joined.mapInArrow(partial(_remove, length=length), f"id {kind}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")

@@ -60,12 +60,60 @@ def test_against_counting(spark, how):
     assert check(spark, corpus(1), **how) > 40
 
 
-def test_a_shard_publishes_each_string_once():
-    string, rng = bytes(range(250)) + bytes(150), random.Random(5)
-    pieces = [rng.randbytes(3) + string + rng.randbytes(3) for _ in range(500)]
-    batch = pa.RecordBatch.from_pydict({"h": [1] * 500, "salt": [0] * 250 + [1] * 250, "piece": pieces})
-    prints = [(r["salt"], r["print"]) for b in suffix_dedup._publish([batch], 400) for r in b.to_pylist()]
-    assert len(prints) == len(set(prints)) == len({(n // 250, p[i : i + 400]) for n, p in enumerate(pieces) for i in range(7)})
+def shard_of(pieces, salt):
+    return pa.table({"h": [1] * len(pieces), "salt": [salt] * len(pieces), "piece": pa.array(pieces, pa.binary())})
+
+
+@pytest.mark.parametrize("length", [100, 400])
+def test_contexts_are_held_by_all_strings_of_their_range(length):
+    rng = random.Random(length)
+    text = bytes(rng.choice(b"abc ") for _ in range(5_000))
+    for first, last in list(zip(*pieces_of(text, length)[1:]))[:40]:
+        piece = text[first : last + length]
+        at = suffix_dedup.anchor_place(piece, length)
+        for width in suffix_dedup.STEPS:
+            contexts = suffix_dedup.shared_contexts(piece, length, width)
+            for start in range(len(piece) - length + 1):
+                string, reach = piece[start : start + length], at - start
+                assert contexts[reach // width] in string
+                if width == 1:
+                    assert contexts[reach] == string
+
+
+def test_a_shard_publishes_few_prints_of_pieces_that_share_little():
+    """Surroundings differ, so no print but those of the common string goes on to the next step."""
+    rng = random.Random(5)
+    string = bytes(rng.randrange(256) for _ in range(420))
+    shards = [[rng.randbytes(250) + string + rng.randbytes(250) for _ in range(200)] for _ in range(2)]
+    shards = [[p[f : e + 400] for p in s for h, f, e in zip(*pieces_of(p)) if f <= 260 <= e] for s in shards]
+    shared, rows = None, []
+    for step in range(3):
+        made = [suffix_dedup._publish(shard_of(s, i), shared, 400, step) for i, s in enumerate(shards)]
+        both = set(made[0].column("print").to_pylist()) & set(made[1].column("print").to_pylist())
+        shared = pa.table({"print": pa.array(sorted(both), pa.binary())})
+        rows.append([m.num_rows for m in made])
+    assert max(rows[0]) <= 200 * 8 and max(rows[1]) <= 200 * 12 and max(rows[2]) <= 200 * 16
+    strings = [{p[i : i + 400] for p in s for i in range(len(p) - 399)} for s in shards]
+    assert set(made[0].column("string").to_pylist()) & set(made[1].column("string").to_pylist()) == strings[0] & strings[1]
+    assert len(both) == len(strings[0] & strings[1]) >= 21
+
+
+def test_binary_search_finds_all_places():
+    rng = random.Random(9)
+    pieces = [bytes(rng.choice(b"ab\x00") for _ in range(rng.randint(1, 60))) for _ in range(30)]
+    data, ends = b"".join(pieces), np.cumsum([len(p) for p in pieces])
+    order = suffix_array(np.frombuffer(data, np.uint8), ends)
+    starts = np.concatenate([[0], ends[:-1]])
+    for string in [b"a", b"ab\x00", b"\x00\x00", b"bbbb", b"c", data[:9]]:
+        expected = [int(s) + i for s, p in zip(starts, pieces) for i in range(len(p)) if p[i : i + len(string)] == string]
+        assert sorted(suffix_dedup.places_of([string], data, ends, order)) == expected
+
+
+def test_a_hot_anchor_of_thousands_of_pieces(spark):
+    rng = random.Random(16)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(405))
+    rows = [(i, f"{rng.random():.15f}" * 12 + passage + f"{rng.random():.15f}" * 12) for i in range(2_500)]
+    assert check(spark, rows, per_shard=200) >= 2_500
 
 
 def test_a_string_of_very_many_documents(spark):
