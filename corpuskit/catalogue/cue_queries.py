@@ -12,6 +12,7 @@ from corpuskit.operators.inference import glossary_model, map_text_batches
 from corpuskit.plans import translate
 from corpuskit.session import scratch_path
 from corpuskit.sinks.subtitles import write_subtitles
+from corpuskit.sinks.text_files import write_text_files
 from corpuskit.sources.subtitles import read_subtitles, split_subtitles
 
 # A stand-in for a translation model; it changes letters and keeps spaces.
@@ -38,7 +39,7 @@ def cue_counts(spark, sf_dir):
 def subtitle_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "subtitles")
     write_subtitles(view(spark, sf_dir, "cues"), path, line_end="\r\n")
-    file_id = F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint")
+    file_id = F.regexp_extract("file", r"/(\d+)\.srt$", 1).cast("bigint")
     return read_subtitles(spark, path).withColumn("file_id", file_id).drop("file", "position")
 
 
@@ -79,9 +80,10 @@ def odd_subtitle_blocks(spark, sf_dir):
     """What is no cue, with its file and place: blocks without number, or without times."""
     path = scratch_path(spark, "odd_subtitles")
     rows = _given_subtitles(spark, sf_dir)
-    rows.repartition("file_id").sortWithinPartitions("file_id", "turn").select("file_id", "value").write.partitionBy("file_id").text(path)
+    lines = rows.select(F.col("file_id").cast("string").alias("name"), "turn", F.concat("value", F.lit("\n")).alias("value"))
+    write_text_files(lines.repartition("name").sortWithinPartitions("name", "turn"), path, suffix=".srt")
     _, rejected = split_subtitles(spark, path)
-    file_id = F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint")
+    file_id = F.regexp_extract("file", r"/(\d+)\.srt$", 1).cast("bigint")
     return rejected.select(file_id.alias("file_id"), F.col("position").cast("bigint").alias("position"), "block")
 
 

@@ -32,10 +32,10 @@ def retention(events: DataFrame, user: str = "user_id", ts: str = "ts", period:
         F.col(user).alias("user"), F.date_trunc(period, ts).cast("date").alias("period")).distinct()
     back = {"month": F.add_months("period", -1), "week": F.date_sub("period", 7), "day": F.date_sub("period", 1)}[period]
     again = active.select("user", back.alias("period"), F.lit(1).alias("again"))
-    last = active.agg(F.max("period").alias("last"))  # one row
+    last = active.agg(F.max("period")).scalar()  # one value
     share = F.sum("again") / F.count(F.lit(1))
     return (
-        active.join(again, ["user", "period"], "left").join(F.broadcast(last), F.col("period") < F.col("last"))
+        active.where(F.col("period") < last).join(again, ["user", "period"], "left")
         .groupBy("period").agg(
             F.count(F.lit(1)).alias("active"), F.count("again").alias("retained"),
             F.coalesce(share, F.lit(0.0)).alias("retention"), F.coalesce(share >= target, F.lit(False)).alias("met"))

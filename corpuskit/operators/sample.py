@@ -32,14 +32,17 @@ def is_sampled(key: Column, pct: float, seed: int = 42) -> Column:
 
 
 def bernoulli_sample(
-    df: DataFrame, key: str, pct: float = 2.5, cap: int | None = None, seed: int = 42
+    df: DataFrame, key: str, pct: float = 2.5, cap: int | None = None, seed: int = 42, fallback: int = 0
 ) -> DataFrame:
     """About ``pct`` percent of the rows by hash of a unique ``key``.
 
     Past ``cap`` rows the ones with the lowest hash stay, which is a uniform sample of
-    exactly ``cap`` rows. There is no cap unless one is given, and an empty sample stays empty.
+    exactly ``cap`` rows. There is no cap unless one is given. An empty sample stays empty unless ``fallback`` asks for
+    so many rows of the smallest keys instead.
     """
     hashed = df.withColumn("_hash", key_hash(F.col(key), seed)).where(F.col("_hash") < _threshold(pct))
+    if fallback and hashed.isEmpty():
+        return df.orderBy(key).limit(fallback)
     if cap is None:
         return hashed.drop("_hash")
     # At most 65,536 rows, whatever the size of the data.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuskit.sinks.text_files import write_text_files
+
 
 def _clock(ms: Column) -> Column:
     return F.format_string(
@@ -25,21 +27,17 @@ def cue_block(cue_no: Column, start_ms: Column, end_ms: Column, text: Column) ->
 def write_subtitles(
     cues: DataFrame, path: str, line_end: str = "\n", order: str = "cue_no", cues_per_part: int | None = None
 ) -> None:
-    """One folder per ``file_id``, UTF-8, cues in the given order; a cue without number gets its place, if that is known.
+    """One file ``<file_id>.srt`` per ``file_id``, UTF-8, cues in the given order; a cue without number gets its place, if that is known.
 
-    Rows stream to the writer one cue at a time, so no file has to fit in memory. A file is one
-    part. With ``cues_per_part`` a longer file has several, which make up the whole in the order of their names.
+    Rows stream to the writer one cue at a time, so no file has to fit in memory, and a task writes all files it is
+    given. With ``cues_per_part`` a longer file has several parts, ``<file_id>.<part>.srt``, which make up the whole in the order of their names.
     """
     number = F.coalesce("cue_no", F.col(order) + 1) if order != "cue_no" else F.col("cue_no")
-    block = cue_block(number, F.col("start_ms"), F.col("end_ms"), F.col("text"))
+    block = F.concat(cue_block(number, F.col("start_ms"), F.col("end_ms"), F.col("text")), F.lit("\n"))
     if line_end != "\n":
         block = F.replace(block, F.lit("\n"), F.lit(line_end))
+    name = F.regexp_replace(F.col("file_id").cast("string"), r"\.srt$", "")
     if cues_per_part:
-        parts = cues.withColumn("_part", F.floor(F.col(order) / cues_per_part)).repartitionByRange("file_id", "_part")
-    else:
-        parts = cues.repartition("file_id")
-    (
-        parts.sortWithinPartitions("file_id", order)
-        .select("file_id", block.alias("value"))
-        .write.mode("overwrite").partitionBy("file_id").option("lineSep", line_end).text(path)
-    )
+        name = F.format_string("%s.%06d", name, F.floor(F.col(order) / cues_per_part))
+    parts = cues.select(name.alias("name"), F.col(order).alias("_order"), block.alias("value"))
+    write_text_files(parts.repartition("name").sortWithinPartitions("name", "_order"), path, suffix=".srt")

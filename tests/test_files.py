@@ -2,6 +2,7 @@
 
 import bz2
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from corpuskit.operators.profile import null_rates
 from corpuskit.plans.etl import EtlOptions, run_etl
 from corpuskit.sinks import tables
 from corpuskit.sinks.subtitles import write_subtitles
+from corpuskit.sinks.text_files import write_text_files
 from corpuskit.sources import files, split_csv
 from corpuskit.sources.bulk_csv import read_bulk_csv, read_checked_csv, split_bad_records, string_schema
 from corpuskit.sources.split_csv import read_split_csv
@@ -232,8 +234,27 @@ def test_subtitle_files_are_whole_and_ordered(spark, folder):
     write_subtitles(cues, folder + "/srt")
     parts = spark.read.text(folder + "/srt", wholetext=True)
     assert parts.count() == 7
-    first = parts.where("file_id = 0").first().value
+    first = parts.where(F.col("_metadata.file_name") == "0.srt").first().value
     numbers = [int(block.split("\n")[0]) for block in first.strip().split("\n\n")]
     assert numbers == list(range(1, len(numbers) + 1))
     assert first.startswith("1\n00:00:00,000 --> 00:00:00,999\nline 0\n\n2\n")
     assert read_subtitles(spark, folder + "/srt").count() == 900
+
+
+def test_text_files_have_their_names_and_replace_earlier_ones(spark, folder):
+    rows = [("a/b", "x"), ("a/b", "y"), ("../../etc", "z"), ("é ü", ""), (None, "n"), ("..", "d")]
+    df = spark.createDataFrame(rows, "name string, value string").coalesce(1)
+    for _ in range(2):
+        write_text_files(df, folder + "/out", suffix=".txt")
+    found = {p.relative_to(folder + "/out").as_posix().partition("/")[2]: p.read_text() for p in Path(folder, "out").rglob("*.txt")}
+    assert found == {"a/b.txt": "xy", "%2E%2E/%2E%2E/etc.txt": "z", "%C3%A9 %C3%BC.txt": "", "null.txt": "n", "%2E%2E.txt": "d"}
+    write_text_files(df.limit(1), folder + "/out", mode="append")
+    assert len(list(Path(folder, "out").iterdir())) == 2
+
+
+def test_failed_tasks_leave_no_text_files(spark, folder):
+    df = spark.range(20, numPartitions=4).select(
+        F.col("id").cast("string").alias("name"), F.when(F.col("id") == 19, F.raise_error(F.lit("stop"))).otherwise("text").alias("value"))
+    with pytest.raises(Exception, match="stop"):
+        write_text_files(df, folder + "/out")
+    assert not list(Path(folder).glob("out/task=*"))

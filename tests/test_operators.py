@@ -142,7 +142,9 @@ def test_sample_edges(spark):
     assert sample.bernoulli_sample(nulls, "id", 100.0).count() == 20
     df = spark.range(50)
     assert sample.bernoulli_sample(df, "id", 250.0).count() == 50
-    assert [r.id for r in sample.bernoulli_sample(df, "id", -1.0).orderBy("id").collect()] == list(range(10))
+    assert sample.bernoulli_sample(df, "id", -1.0).count() == 0
+    assert [r.id for r in sample.bernoulli_sample(df, "id", -1.0, fallback=10).orderBy("id").collect()] == list(range(10))
+    assert sample.bernoulli_sample(df, "id", 100.0, fallback=10).count() == 50
     assert sample.random_rows(spark.range(3), "id").count() == 3
     assert sample.random_rows(spark.range(11), "id").count() == 5
 
