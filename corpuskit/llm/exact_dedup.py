@@ -63,6 +63,24 @@ def probe(rows: DataFrame, digest: str, field: DataFrame, bits: int, found: str)
     return out.select(*rows.columns, reduce(and_, hits).alias(found))
 
 
+def key_field(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """Bitmaps, by number, of the cells of all ``keys``: a Bloom filter of them."""
+    cell = keys.select(F.explode(F.array(*_cells(F.col(key), bits))).alias("_cell"))
+    return cell.groupBy(F.bitmap_bucket_number("_cell").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_cell")).alias("_bitmap"))
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame, max_bits: int = 1 << 26) -> DataFrame:
+    """The rows whose key is among ``keys`` (a written table of the same column), and few others.
+
+    Nothing is shuffled but bitmaps; their broadcast has ``max_bits`` bits at most. With more keys than
+    that has room for more rows pass. A join after it decides.
+    """
+    bits = field_size(keys.count(), max_bits=max_bits)
+    field = materialise(key_field(keys, key, bits), "bloom")
+    return probe(rows, key, field, bits, "_likely").where("_likely").drop("_likely")
+
+
 def exact_dedup(
     df: DataFrame,
     id_col: str = "doc_id",

@@ -22,14 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskit.llm.components import components
-from corpuskit.operators.ordered import row_numbers
+from corpuskit.llm.exact_dedup import likely_in
+from corpuskit.operators.ordered import running_totals
 from corpuskit.session import materialise, temporary_copies
 
 WIDTH = 4
 PERCENT = 85
 LEAST_BITS, MOST_BITS = 10, 20
 BITS_PER_ITEM, WIDE_BITS_PER_ITEM = 4, 16
-TILE_ROWS = 512
+TILE_ROWS, TILE_BYTES = 512, 8 << 20
 MEMO_WORDS = 1_000_000
 MEMO_SETS = 200_000
 
@@ -235,13 +236,17 @@ def gatherings(sets: DataFrame, counts: DataFrame, width: int, percent: int) ->
     """
     shared = sets.sparkSession.sparkContext.broadcast(frequency_table(counts))
     work = partial(_prefixes, shared=shared, width=width, percent=percent)
-    entries = materialise(
-        sets.where("lead").select("node", "text").mapInArrow(work, "item bigint, node bigint, n int"), "entries")
-    # Nearly all items occur once; a count is the least that has to move to tell.
-    again = materialise(entries.groupBy("item").count().where("count > 1").select("item"), "items")
-    common = materialise(entries.join(again, "item"), "common")
-    least = materialise(common.groupBy("item").agg(F.min("node").alias("key")), "least")
-    return materialise(common.join(least, "item").select("key", "node", "n").distinct(), "members")
+    with temporary_copies(sets.sparkSession) as kept:
+        entries = materialise(
+            sets.where("lead").select("node", "text").mapInArrow(work, "item bigint, node bigint, n int"), "entries")
+        # Nearly all items occur once; a count is the least that has to move to tell, and a Bloom filter keeps those in place.
+        again = materialise(
+            entries.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("key")).where("c > 1").select("item", "key"), "items")
+        common = likely_in(entries, "item", again.select("item")).join(again, "item")
+        members = materialise(common.select("key", "node", "n").distinct(), "members")
+        kept.append(members)
+    shared.destroy()
+    return members
 
 
 # --- pairs --------------------------------------------------------------------------------------
@@ -320,8 +325,9 @@ def verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int, bounde
     if not bounded:
         mapped = _with_both(pairs, leads, {"n": ("n", "m"), "bits": ("x", "y")})
         pairs = materialise(mapped.mapInArrow(bound, "a bigint, b bigint"), "bounded")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    items = materialise(leads.select("node", "text").join(asked, "node").mapInArrow(
+    asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    # Texts of nodes that no pair asks for stay where they are.
+    items = materialise(likely_in(leads.select("node", "text"), "node", asked).join(asked, "node").mapInArrow(
         partial(_items, width=width), "node bigint, n int, wide binary, items binary"), "items")
     wide = _with_both(pairs, items, {"n": ("n", "m"), "wide": ("x", "y")})
     close = materialise(wide.mapInArrow(bound, "a bigint, b bigint"), "bounded")
@@ -365,6 +371,12 @@ def tile_bound(x: list[bytes], y: list[bytes], i: np.ndarray, j: np.ndarray, n:
     return keep
 
 
+def bitmap_bytes(n: Column) -> Column:
+    """Bytes of the `bitmap` of a set of ``n`` items."""
+    power = F.ceil(F.log2(F.greatest(n * BITS_PER_ITEM, F.lit(1)).cast("double")))
+    return F.pow(F.lit(2.0), F.least(F.lit(MOST_BITS), F.greatest(F.lit(LEAST_BITS), power)) - 3).cast("bigint")
+
+
 def size_band(n: Column, percent: int) -> Column:
     """Number of the band of a size; sizes that are compatible are in the same band or in neighbouring ones."""
     return F.floor(F.log(n.cast("double")) / math.log(100 / percent) * (1 - 1e-9)).cast("int")
@@ -387,10 +399,15 @@ def tiled_pairs(members: DataFrame, parts: DataFrame, sets: DataFrame, percent:
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "node").alias("first"),
             F.bool_and("low").alias("lower")).where("lo <> hi and not lower").select(*group, "first"), "open")
     left = own.join(open_keys, group).withColumn("main", F.col("component") == F.col("first")).drop("first")
-    numbered = row_numbers(left, [*group, "main"], [F.col("n").asc(), F.col("node").asc()], "_no")
-    numbered = numbered.join(sets.where("lead").select("node", "bits"), "node")
+    # A band holds TILE_ROWS rows at most, and fewer of long texts, whose bitmaps are large.
+    weight = F.greatest(F.lit(TILE_BYTES // TILE_ROWS), bitmap_bytes(F.col("n")))
+    placed = running_totals(left, [*group, "main"], [F.col("n").asc(), F.col("node").asc()], {"_to": weight})
+    placed = placed.withColumn("band", F.floor((F.col("_to") - weight) / TILE_BYTES))
+    wanted = materialise(placed, "placed")
+    maps = sets.where("lead").select("node", "bits")
+    numbered = wanted.join(likely_in(maps, "node", materialise(wanted.select("node").distinct(), "asked")), "node")
     bands = materialise(
-        numbered.groupBy(*group, "main", F.expr(f"(_no - 1) div {TILE_ROWS}").alias("band")).agg(
+        numbered.groupBy(*group, "main", "band").agg(
             F.min("n").alias("low"), F.max("n").alias("high"),
             F.collect_list(F.struct("node", "n", "component", "low", "bits")).alias("rows")), "bands")
     other = bands.where("not main").select(
@@ -436,7 +453,8 @@ def jaccard_components(
     empty set and no link. Rows link when percent of the union is shared. ``component_id`` is the
     smallest id that links lead to; null ids come last, so it is null only if no row of the component has an id.
     Repeated rows are rows like any other. ``digest`` hashes the text, and ``keep_digest`` is that of a
-    row with the smallest id, which tells which row stays. An empty table gives no row.
+    row with the smallest id, which tells which row stays. Texts are read whole, however long; ties of ids are told apart by the
+    digest. Other columns do not matter, and an empty table gives no row.
     """
     with temporary_copies(df.sparkSession) as kept:
         both = materialise(shingle_sets(df, id_col, text_col, width), "sets")
