@@ -14,16 +14,15 @@ from corpuskit.session import scratch_path
 from corpuskit.sinks import tables as sinks
 from corpuskit.sources import files
 from corpuskit.sources.bulk_csv import read_bulk_csv, split_bad_records, string_schema
-from corpuskit.sources.split_csv import read_split_csv
 
 NULL = "\\N"
 COMPACT_BYTES = 1 << 19
 
 
-def _opinions_csv(spark, sf_dir, **options):
-    path = scratch_path(spark, "csv")
+def _opinions_csv(spark, sf_dir, one_file=False, **options):
+    path, rows = scratch_path(spark, "csv"), view(spark, sf_dir, "opinions")
     # The table is a single row group; written by several tasks it becomes several files.
-    rows = view(spark, sf_dir, "opinions").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    rows = rows.coalesce(1) if one_file else rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     sinks.write_csv(rows, path, null_value=NULL, **options)
     return path
 
@@ -42,20 +41,21 @@ def csv_roundtrip_bz2(spark, sf_dir):
 
 
 def csv_split_doubled(spark, sf_dir):
-    return read_split_csv(spark, _opinions_csv(spark, sf_dir), null_value=NULL)
+    """All records in one file, many of which span lines: it is never cut, for no cut is certain to stand between records."""
+    return read_bulk_csv(spark, _opinions_csv(spark, sf_dir, one_file=True), null_value=NULL)
 
 
 def csv_split_backslash(spark, sf_dir):
-    return read_split_csv(spark, _opinions_csv(spark, sf_dir, dialect="backslash"), "backslash", NULL)
+    return read_bulk_csv(spark, _opinions_csv(spark, sf_dir, one_file=True, dialect="backslash"), "backslash", null_value=NULL)
 
 
 def csv_split_bz2(spark, sf_dir):
-    return read_split_csv(spark, _opinions_csv(spark, sf_dir, compression="bzip2"), null_value=NULL)
+    return read_bulk_csv(spark, _opinions_csv(spark, sf_dir, one_file=True, compression="bzip2"), null_value=NULL)
 
 
 def bulk_etl(spark, sf_dir):
     out = scratch_path(spark, "etl")
-    options = EtlOptions(null_value=NULL, split_files=True, target_bytes=COMPACT_BYTES)
+    options = EtlOptions(null_value=NULL, target_bytes=COMPACT_BYTES)
     run_etl(spark, _opinions_csv(spark, sf_dir), out, options)
     return files.read_stage(spark, out)
 

@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 from corpuskit.session import scratch_path
 from corpuskit.sinks.tables import GIB, compact, write_stage
 from corpuskit.sources.bulk_csv import read_bulk_csv
-from corpuskit.sources.split_csv import read_split_csv
 
 
 @dataclass
@@ -20,24 +19,17 @@ class EtlOptions:
     null_value: str | None = None
     codec: str = "zstd"
     target_bytes: int = GIB
-    split_files: bool = False
     stage: str | None = None
 
 
 def run_etl(spark: SparkSession, src: str, out: str, options: EtlOptions | None = None) -> int:
     """Reads CSV, stages it as Parquet and compacts that; returns the number of files.
 
-    ``split_files=True`` reads each file with many tasks; it needs a header and takes
-    every well-quoted record. ``stage`` keeps the uncompacted copy at a path of yours.
+    A file is read by one task, so a large export is best landed as several files. ``stage`` keeps the uncompacted copy at a path of yours.
     """
     o = options or EtlOptions()
-    if o.split_files:
-        if not (o.header and o.permissive):
-            raise ValueError("split_files reads files with a header, permissively")
-        rows = read_split_csv(spark, src, o.dialect, o.null_value)
-    else:
-        rows = read_bulk_csv(spark, src, o.dialect, o.header, mode="PERMISSIVE" if o.permissive else "FAILFAST",
-                             null_value=o.null_value)
+    rows = read_bulk_csv(spark, src, o.dialect, o.header, mode="PERMISSIVE" if o.permissive else "FAILFAST",
+                         null_value=o.null_value)
     stage = o.stage or scratch_path(spark, "stage")
     write_stage(rows, stage, o.codec)
     return compact(spark, stage, out, o.target_bytes, o.codec)

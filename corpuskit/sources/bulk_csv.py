@@ -40,8 +40,8 @@ def read_bulk_csv(
 ) -> DataFrame:
     """All columns as strings; compression follows the file extension.
 
-    A file is one task, because a record may span lines. For files too large for that
-    use `corpuskit.sources.split_csv.read_split_csv`, which reads one file in parallel.
+    A file is one task, because a record may span lines and only reading from the start tells where it ends.
+    Land large exports as several files.
     """
     reader = spark.read.options(**csv_options(dialect, null_value)).option("header", header).option("mode", mode)
     if schema is not None:
