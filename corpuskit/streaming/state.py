@@ -6,6 +6,7 @@ is run again after a failure replaces its own folder, so its effect is the same
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
@@ -14,6 +15,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
+ENGINE_STATE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_engine_state(spark: SparkSession) -> None:
+    """Lets queries that are started from now on keep state in RocksDB, on the executors' disks and in the checkpoint."""
+    spark.conf.set(ENGINE_STATE, ROCKS_DB)
+
+
+def millis_of(interval: str) -> int:
+    """Length of a day-time interval such as "90 minutes"."""
+    found = re.findall(r"(\d+)\s*(second|minute|hour|day|week)s?", interval)
+    if not found or re.sub(r"(\d+)\s*(second|minute|hour|day|week)s?|\s", "", interval):
+        raise ValueError(f"no interval of weeks to seconds: {interval!r}")
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+    return 1000 * sum(int(n) * seconds[unit] for n, unit in found)
+
+
 def run_name(restart: bool) -> str:
     """Name of the run to go on with, or of a fresh one that reads every file again."""
     return f"r{uuid.uuid4().hex}" if restart else "main"

@@ -10,7 +10,7 @@ from corpuskit.operators.requests import endpoint_health
 from corpuskit.streaming.dedupe import dedupe_stream
 from corpuskit.streaming.health import health_stream, read_health
 from corpuskit.streaming.ingest import ingest_stream
-from corpuskit.streaming.state import batch_path
+from corpuskit.streaming.state import batch_path, millis_of
 
 LOG = "req_id long, ts timestamp, endpoint_id long, status int"
 
@@ -110,7 +110,39 @@ def test_health_goes_on_after_a_stop(spark, folder, log_files):
 def test_dedupe_keeps_one_row_per_key(spark, folder, log_files):
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 2).parquet(folder)
     out = folder + "-out"
-    dedupe_stream(stream, ["endpoint_id"], "ts", "30 days").writeStream.format("parquet").option("path", out).option(
+    dedupe_stream(stream, ["endpoint_id"], "ts", "30 days").select("endpoint_id").writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", folder + "-progress").trigger(availableNow=True).start().awaitTermination()
     got = [r.endpoint_id for r in spark.read.parquet(out).collect()]
     assert len(got) == len(set(got)) and set(got) == {r[0] for r in log_files.select("endpoint_id").distinct().collect()}
+
+
+def sightings(spark, folder, batches, horizon="10 seconds"):
+    """Rows (key, at, late) of a stream of batches of (key, seconds), taken in order."""
+    src, out = folder + "-in", folder + "-out"
+    for rows in batches:
+        df = spark.createDataFrame([(k, s, 2**53 + 1) for k, s in rows], "k string, s long, big long")
+        df.select("k", F.timestamp_seconds("s").alias("at"), "big").coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    stream = spark.readStream.schema("k string, at timestamp, big long").option("maxFilesPerTrigger", 1).parquet(src)
+    dedupe_stream(stream, ["k"], "at", horizon).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", folder + "-progress").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).select("k", F.unix_seconds("at").alias("s"), "late", "big").collect()
+    assert all(r.big == 2**53 + 1 for r in got)
+    return sorted(((r.k, r.s, r.late) for r in got), key=repr)
+
+
+def test_late_first_sightings_come_out_marked(spark, folder):
+    got = sightings(spark, folder, [[("a", 100), ("a", 101), ("b", 95)], [("c", 80), ("a", 99), ("d", 93), ("c", 70)], [("c", 81), (None, 50), (None, 102)]])
+    assert got == sorted([("a", 100, False), ("b", 95, False), ("c", 70, True), ("d", 93, False), (None, 50, True)], key=repr)
+
+
+def test_keys_are_forgotten_after_the_horizon(spark, folder):
+    got = sightings(spark, folder, [[("a", 100)], [("a", 105), ("x", 106)], [("x", 130)], [("y", 131)], [("a", 130), ("x", 131)]])
+    assert got == [("a", 100, False), ("a", 130, False), ("x", 106, False), ("y", 131, False)]
+
+
+def test_intervals():
+    assert millis_of("90 minutes") == 5_400_000 and millis_of("1 day 2 hours") == 93_600_000
+    for odd in ("", "1 month", "day"):
+        with pytest.raises(ValueError):
+            millis_of(odd)
