@@ -31,8 +31,10 @@ PERCENT = 85
 LEAST_BITS, MOST_BITS = 10, 20
 BITS_PER_ITEM, WIDE_BITS_PER_ITEM = 4, 16
 TILE_ROWS, TILE_BYTES = 512, 8 << 20
-MEMO_WORDS = 1_000_000
-MEMO_SETS = 200_000
+MEMO_WORDS = 250_000
+MEMO_SETS = 100_000
+# Rows of two longs at most, 16 MB, that are sent to all tasks.
+BROADCAST_ROWS = 1 << 20
 
 # Cells of the frequency table that puts common n-grams last. Any order gives the same links.
 CELLS = 1 << 20
@@ -240,10 +242,10 @@ def gatherings(sets: DataFrame, counts: DataFrame, width: int, percent: int) ->
         entries = materialise(
             sets.where("lead").select("node", "text").mapInArrow(work, "item bigint, node bigint, n int"), "entries")
         # Nearly all items occur once; a count is the least that has to move to tell, and a Bloom filter keeps those in place.
-        again = materialise(
-            entries.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("key")).where("c > 1").select("item", "key"), "items")
-        common = likely_in(entries, "item", again.select("item")).join(again, "item")
-        members = materialise(common.select("key", "node", "n").distinct(), "members")
+        again = materialise(entries.groupBy("item").count().where("count > 1").select("item"), "items")
+        common = materialise(likely_in(entries, "item", again).join(again, "item"), "common")
+        least = materialise(common.groupBy("item").agg(F.min("node").alias("key")), "least")
+        members = materialise(common.join(least, "item").select("key", "node", "n").distinct(), "members")
         kept.append(members)
     shared.destroy()
     return members
@@ -303,11 +305,24 @@ def _exact_pairs(batches, percent: int):
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _of_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows whose ``node`` is among ``nodes`` (written, each once).
+
+    A list of nodes of checked size goes to where the rows are; a longer one meets the rows that a Bloom filter lets pass.
+    """
+    if nodes.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(nodes), "node", "left_semi")
+    return likely_in(rows, "node", nodes).join(nodes, "node", "left_semi")
+
+
 def _with_both(pairs: DataFrame, sets: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
-    for side, at in (("a", 0), ("b", 1)):
-        own = sets.select(F.col("node").alias(side), *[F.col(c).alias(names[at]) for c, names in columns.items()])
-        pairs = pairs.join(own, side)
-    return pairs.select("a", "b", *[names[at] for names in columns.values() for at in (0, 1)])
+    """Written pairs with columns of both nodes. ``b`` is looked up first, for many pairs share their ``a``."""
+    own = lambda rows, side, at: rows.select(F.col("node").alias(side), *[F.col(c).alias(names[at]) for c, names in columns.items()])
+    small = pairs.count() <= BROADCAST_ROWS
+    with_b = own(sets, "b", 1).join(F.broadcast(pairs) if small else pairs, "b")
+    hubs = materialise(pairs.select(F.col("a").alias("node")).distinct(), "hubs")
+    both = with_b.join(own(_of_nodes(sets, hubs), "a", 0), "a")
+    return both.select("a", "b", *[names[at] for names in columns.values() for at in (0, 1)])
 
 
 def _items(batches, width: int):
@@ -323,11 +338,12 @@ def verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int, bounde
     """The pairs (``a``, ``b``) of nodes that are similar enough: by bitmaps, by wider ones, then by the sets themselves."""
     leads, bound = sets.where("lead"), partial(_bound_pairs, percent=percent)
     if not bounded:
+        pairs = materialise(pairs, "tried")
         mapped = _with_both(pairs, leads, {"n": ("n", "m"), "bits": ("x", "y")})
         pairs = materialise(mapped.mapInArrow(bound, "a bigint, b bigint"), "bounded")
     asked = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     # Texts of nodes that no pair asks for stay where they are.
-    items = materialise(likely_in(leads.select("node", "text"), "node", asked).join(asked, "node").mapInArrow(
+    items = materialise(_of_nodes(leads.select("node", "text"), asked).mapInArrow(
         partial(_items, width=width), "node bigint, n int, wide binary, items binary"), "items")
     wide = _with_both(pairs, items, {"n": ("n", "m"), "wide": ("x", "y")})
     close = materialise(wide.mapInArrow(bound, "a bigint, b bigint"), "bounded")
@@ -405,7 +421,7 @@ def tiled_pairs(members: DataFrame, parts: DataFrame, sets: DataFrame, percent:
     placed = placed.withColumn("band", F.floor((F.col("_to") - weight) / TILE_BYTES))
     wanted = materialise(placed, "placed")
     maps = sets.where("lead").select("node", "bits")
-    numbered = wanted.join(likely_in(maps, "node", materialise(wanted.select("node").distinct(), "asked")), "node")
+    numbered = wanted.join(_of_nodes(maps, materialise(wanted.select("node").distinct(), "asked")), "node")
     bands = materialise(
         numbered.groupBy(*group, "main", "band").agg(
             F.min("n").alias("low"), F.max("n").alias("high"),
