@@ -6,7 +6,7 @@ released block that is due first. So after any number of blocks a source has had
 give or take less than one block, for as long as every source still has blocks.
 
 Weights are whole shares of a frame. All deadlines coincide at the end of a frame, so the order
-within one frame, a table of ``frame`` rows, holds for every frame.
+within one frame, a table of ``frame`` rows, holds for every frame. Sources are counted by thousands, not by documents.
 """
 
 from __future__ import annotations
@@ -37,20 +37,23 @@ def whole_shares(sizes: dict[str, float], frame: int) -> dict[str, int]:
 def frame_order(spark: SparkSession, shares: list[int]) -> DataFrame:
     """Earliest deadline first over one frame: rows (``_source_no``, ``_nth``, ``_place``), one per place."""
     frame = sum(shares)
-    weights = F.array(*[F.lit(w) for w in shares])
-    start = F.struct(F.array(*[F.lit(0)] * len(shares)).alias("had"), F.array().cast("array<int>").alias("order"))
+    # The weights travel with the state, which is made once; an array in the formula would be made anew for each of its elements.
+    weights = F.from_json(F.lit(str(list(shares))), "array<int>")
+    start = F.struct(
+        F.array_repeat(F.lit(0), len(shares)).alias("had"), F.array().cast("array<int>").alias("order"), weights.alias("weights"))
 
     def step(state, place):
         def due(had, i):
-            weight = F.element_at(weights, i + 1)
+            weight = F.element_at(state["weights"], i + 1)
             released = F.floor(had * F.lit(frame) / weight) <= place
             return F.when(released & (had < weight), F.struct(
                 F.ceil((had + 1) * F.lit(frame) / weight).alias("deadline"), i.cast("int").alias("i")))
 
         first = F.array_min(F.transform(state["had"], due))["i"]
-        return F.struct(
-            F.transform(state["had"], lambda had, i: had + (i == first).cast("int")).alias("had"),
-            F.concat(state["order"], F.array(first)).alias("order"))
+        # Bound to a name by an array of one, or it would be worked out anew for every source.
+        return F.get(F.transform(F.array(first), lambda chosen: F.struct(
+            F.transform(state["had"], lambda had, i: had + (i == chosen).cast("int")).alias("had"),
+            F.concat(state["order"], F.array(chosen)).alias("order"), state["weights"].alias("weights"))), 0)
 
     order = F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step, lambda state: state["order"])
     places = spark.range(1).select(F.posexplode(order).alias("_place", "_source_no"))
@@ -80,7 +83,8 @@ def mix_sources(
 
     A document belongs to the block in which it begins, also if it fills several; a null text is an
     empty one, and null is a source of its own. Within a source rows go by id, null last. Repeated
-    rows are rows like any other. An empty table gives an empty mix.
+    rows are rows like any other. An empty table gives an empty mix. With more than half as many sources as ``frame`` has places the frame is
+    twice as long as there are sources; working out its order takes time in proportion to sources times places.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -92,12 +96,9 @@ def mix_sources(
     placed = totals.withColumn("before", F.col("_upto") - F.col("n_chars")).withColumn(
         "block", F.expr(f"before div {block_chars}"))
 
-    # One row per source; a frame has room for no more sources than it has places.
-    sizes = rows.groupBy("source").agg(F.sum("n_chars").alias("n"))
-    most = sum(weights.values()) if weights else frame
-    found = {r.source: r.n for r in sizes.limit(most + 1).collect()}
-    if len(found) > most:
-        raise ValueError(f"more than {most} sources; give a longer frame")
+    # One row per source; the frame grows with them, so that each has a place in it and room for its weight.
+    found = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("n_chars").alias("n")).collect()}
+    frame = max(frame, 2 * len(found))
     if weights is None:
         key = {s: "" if s is None else f"={s}" for s in found}
         shares = whole_shares({key[s]: n**temper for s, n in found.items()}, frame)

@@ -29,13 +29,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 LEARNT = "format"
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+# Characters of candidates; long runs of the two other fixed kinds lie within long runs of these.
+RUN = "[A-Za-z0-9+/_.=-]"
+LONG_RUN = re.compile(RUN + "{16,}")
 
 # The training sample has these bounds, whatever the size of the corpus.
 SAMPLE_DOCS = 50_000
 CREDENTIALS = 500
 OTHER_TOKENS = 1_000
 LONGEST_EXAMPLE = 256
+SHORTEST_EXAMPLE = 6
 
 ALPHA = 0.05
 SMOOTHING = 1e-3
@@ -58,19 +61,25 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
     lowered = text.lower()
     if any(word in lowered for word in KEYWORDS):
         out += [("assign", *m.span(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
-    # Long runs of these two kinds lie within runs of candidate characters.
-    for run in CANDIDATE.finditer(text):
+    for run in LONG_RUN.finditer(text):
         for kind, pattern in (("access", ACCESS), ("hex", HEX)):
             out += [(kind, run.start() + m.start(), run.start() + m.end(), m[0])
                     for m in pattern.finditer(run[0]) if len(m[0]) >= LEAST[kind]]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def other_candidates(text: str, known: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+def candidates_of(least: int) -> re.Pattern:
+    return re.compile(RUN + "{%d,}" % least)
+
+
+SHORTEST = candidates_of(SHORTEST_EXAMPLE)
+
+
+def other_candidates(text: str, known: list[tuple[str, int, int, str]], pattern: re.Pattern) -> list[tuple[int, int]]:
     """Spans of candidate tokens that no known span overlaps."""
     out, at = [], 0
     ends = sorted((start, end) for _, start, end, _ in known)
-    for m in CANDIDATE.finditer(text):
+    for m in pattern.finditer(text):
         while at < len(ends) and ends[at][1] <= m.start():
             at += 1
         if not any(start < m.end() and end > m.start() for start, end in ends[at : at + len(KINDS)]):
@@ -192,24 +201,40 @@ class FormatModel:
     kinds: dict[str, Automaton]
     other: Automaton | None
     lines: dict[str, float]
+    # Candidates have as many characters as the labelled credentials, the shortest few percent left aside.
+    least: int = 16
+
+    def plain(self, token: str) -> float:
+        return self.other.likelihood(token) if self.other else sum(EMITTED) / len(EMITTED)
+
+    def rate(self, kind: str, token: str) -> float | None:
+        """By how much the format of a kind is likelier per character; None if the kind had no example."""
+        return self.kinds[kind].likelihood(token) - self.plain(token) if kind in self.kinds else None
 
     def score(self, token: str) -> float | None:
         """By how much a format of credentials is likelier per character; None below every line."""
-        plain = self.other.likelihood(token) if self.other else sum(EMITTED) / len(EMITTED)
+        plain = self.plain(token)
         over = [s for kind, a in self.kinds.items() if (s := a.likelihood(token) - plain) >= self.lines[kind]]
         return max(over, default=None)
 
 
+def least_length(credentials: dict[str, list[str]]) -> int:
+    """Length that all labelled credentials but the shortest few percent reach; without any there are no candidates to speak of."""
+    lengths = sorted(len(x) for examples in credentials.values() for x in examples)
+    return lengths[len(lengths) * MISSED_PERCENT // 100] if lengths else LONGEST_EXAMPLE
+
+
 def learn_formats(credentials: dict[str, list[str]], others: list[str], alpha: float = ALPHA) -> FormatModel:
     """Automata of the given examples; a kind without examples finds nothing."""
+    least = least_length(credentials)
+    others = [token for token in others if len(token) >= least]
     other = PrefixTree(others).automaton(alpha) if others else None
-    model = FormatModel({}, other, {})
+    model = FormatModel({}, other, {}, least)
     for kind, examples in credentials.items():
         if not examples:
             continue
         learnt = PrefixTree(examples).automaton(alpha)
-        plain = other.likelihood if other else lambda token: sum(EMITTED) / len(EMITTED)
-        scores = sorted(learnt.likelihood(x) - plain(x) for x in examples)
+        scores = sorted(learnt.likelihood(x) - model.plain(x) for x in examples)
         # Never below zero: a token must look more like a credential than like other tokens.
         model.kinds[kind] = learnt
         model.lines[kind] = max(0.0, scores[len(scores) * MISSED_PERCENT // 100])
@@ -223,7 +248,7 @@ def _examples(batches):
             whole = text.as_py()
             known = base_spans(whole)
             rows.update((kind, secret) for kind, _, _, secret in known)
-            rows.update((LEARNT, whole[start:end]) for start, end in other_candidates(whole, known))
+            rows.update((LEARNT, whole[start:end]) for start, end in other_candidates(whole, known, SHORTEST))
         rows = [r for r in rows if len(r[1]) <= LONGEST_EXAMPLE]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["kind", "token"])
@@ -242,22 +267,25 @@ def fit_formats(
     different = df.select(text).where(picked(["text"], sample_docs, df.count())).dropDuplicates(["text"])
     found = different.mapInArrow(_examples, "kind string, token string").distinct().persist()
     try:
-        by_kind = {}
-        for kind, most in [*((k, credentials) for k in KINDS), (LEARNT, other_tokens)]:
-            rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(most).collect()
-            by_kind[kind] = sorted(r.token for r in rows)
+        def examples(kind: str, most: int, least: int) -> list[str]:
+            fit = found.where((F.col("kind") == kind) & (F.length("token") >= least))
+            return sorted(r.token for r in fit.orderBy(F.xxhash64("token"), "token").limit(most).collect())
+
+        by_kind = {kind: examples(kind, credentials, 1) for kind in KINDS}
+        others = examples(LEARNT, other_tokens, least_length(by_kind))
     finally:
         found.unpersist()
-    return learn_formats({k: by_kind[k] for k in KINDS}, by_kind[LEARNT], alpha)
+    return learn_formats(by_kind, others, alpha)
 
 
 def _scan(texts: pa.Array, model: FormatModel, memo: dict) -> pa.Array:
     kinds, starts, ends, scores, offsets = [], [], [], [], [0]
+    pattern = candidates_of(model.least)
     for text in texts:
         whole = text.as_py()
         known = base_spans(whole)
-        found = [(kind, start, end, None) for kind, start, end, _ in known]
-        for start, end in other_candidates(whole, known):
+        found = [(kind, start, end, model.rate(kind, secret)) for kind, start, end, secret in known]
+        for start, end in other_candidates(whole, known, pattern):
             token = whole[start:end]
             if token not in memo:
                 if len(memo) > MEMO_TOKENS:
@@ -281,8 +309,9 @@ def _scan(texts: pa.Array, model: FormatModel, memo: dict) -> pa.Array:
 def secret_spans(df: DataFrame, model: FormatModel, text: Column) -> Column:
     """Spans of whole texts in code points, end exclusive, by start; a null text has none.
 
-    Spans of the fixed patterns have no ``score``; those of kind ``format`` are candidates that no
-    fixed span overlaps and whose format is likely enough.
+    ``score`` says by how much the format of credentials is likelier than that of other tokens, per character. Spans of the fixed
+    patterns are all told, whatever their score; those of kind ``format`` are candidates that no fixed span overlaps
+    and whose score reaches the line of a kind. Only a kind without labelled examples leaves its fixed spans unscored.
     """
     shared, memo = df.sparkSession.sparkContext.broadcast(model), {}
 
@@ -295,6 +324,7 @@ def secret_spans(df: DataFrame, model: FormatModel, text: Column) -> Column:
 def scan_secrets(df: DataFrame, model: FormatModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per row of ``df``: ``id`` and ``spans``, an empty list where nothing is found.
 
-    Null and repeated ids are rows like any other, a null text is empty, and an empty table gives no row.
+    Null and repeated ids are rows like any other, a null text is empty, and an empty table gives no row. Texts are read whole,
+    however long, and other columns do not matter.
     """
     return df.select(F.col(f"`{id_col}`").alias("id"), secret_spans(df, model, F.col(f"`{text_col}`")).alias("spans"))

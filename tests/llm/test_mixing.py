@@ -43,6 +43,15 @@ def test_slots_follow_the_schedule(spark, shares):
         assert all(abs(had[j] - w * t / sum(shares)) < 1 for j, w in enumerate(shares))
 
 
+def test_more_sources_than_places(spark):
+    rows = [(i, "x" * (10 + i % 3), f"s{i % 1500:04d}") for i in range(3000)]
+    got = mix_sources(frame(spark, rows), block_chars=10).select("source", "block", "slot", "release", "deadline").collect()
+    assert len(got) == 3000 and len({r.source for r in got}) == 1500
+    first = {r.slot: r.source for r in got if r.block == 0}
+    assert len(first) == 1500 and max(first) < 3000
+    assert all(r.release <= r.slot < r.deadline for r in got)
+
+
 def test_documents_fall_into_blocks_by_size(spark):
     rows = [(1, "a" * 25, "x"), (2, "b" * 3, "x"), (3, None, "x"), (3, None, "x"), (None, "c" * 4, "x"), (4, "", None), (5, "d" * 9, None),
             (6, "e" * 100_000, "y")]
@@ -77,8 +86,7 @@ def test_refused_input(spark):
     df = frame(spark, [(1, "x", "a"), (2, "y", "b")])
     with pytest.raises(ValueError, match="no weight"):
         mix_sources(df, weights={"a": 3})
-    with pytest.raises(ValueError, match="longer frame"):
-        mix_sources(df, frame=1)
+    assert sorted(r.slot for r in mix_sources(df, frame=1).collect()) == [0, 1]  # the frame grows with the sources
     assert mix_sources(df.limit(0)).count() == 0
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from corpuskit.llm import secret_scan as secrets
@@ -75,6 +76,38 @@ def test_unseen_credentials_of_a_format_are_found(learnt):
     assert learnt.score("SOME_LONG_CONSTANT_NAME") is None
 
 
+def plain_likelihood(automaton, token):
+    total, state = 0.0, 0
+    for c in token:
+        kind = secrets.CLASS_OF[c]
+        total += (automaton.steps[state][kind] if state >= 0 else math.log(secrets.SMOOTHING)) - math.log(len(list(secrets.CLASSES.values())[kind]))
+        state = automaton.follow[state].get(kind, -1) if state >= 0 else -1
+    return (total + (automaton.ends[state] if state >= 0 else math.log(secrets.SMOOTHING))) / (len(token) + 1)
+
+
+def test_all_candidates_and_base_finds_are_scored(learnt):
+    rng = random.Random(6)
+    key = lambda: "sk-" + "".join(rng.choice("0123456789abcdef") for _ in range(32))
+    assert learnt.least == 35
+    text = f"see {key()} and token: {key()} or {key()}, {' '.join(words(rng, 30))} sk-short password: hunter22"
+    spans = secrets._scan(pa.array([text]), learnt, {})[0].as_py()
+    assert [s["kind"] for s in spans] == ["format", "assign", "format", "assign"]
+    for s in spans:
+        token = text[s["start"] : s["end"]].split(": ")[-1]
+        rate = plain_likelihood(learnt.kinds["assign"], token) - plain_likelihood(learnt.other, token)
+        assert s["score"] == pytest.approx(rate) and (s["kind"] == "assign" or rate >= learnt.lines["assign"])
+    assert spans[3]["score"] < learnt.lines["assign"] < spans[1]["score"]
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{35,}", text):  # every candidate is either told or below the line
+        told = any(s["start"] <= m.start() < s["end"] for s in spans)
+        assert told or plain_likelihood(learnt.kinds["assign"], m[0]) - plain_likelihood(learnt.other, m[0]) < learnt.lines["assign"]
+
+
+def test_least_length_follows_the_credentials():
+    assert secrets.least_length({"assign": ["x" * 8] * 50, "hex": ["0" * 24] * 50}) == 8
+    assert secrets.least_length({"assign": ["x" * 6] + ["x" * 12] * 99, "hex": []}) == 12
+    assert secrets.least_length({"assign": [], "hex": []}) > 100
+
+
 def test_compatible_states_are_merged():
     rng = random.Random(5)
     examples = ["".join(rng.choice("0123456789") for _ in range(rng.randint(5, 40))) for _ in range(300)]
