@@ -10,8 +10,9 @@ from corpuskit.catalogue.views import table, view, with_views
 from corpuskit.functions.columns import EXPECTED_COLUMNS
 from corpuskit.functions.dates import parse_date_or_null
 from corpuskit.functions.text import is_nullish, length_bucket, text_length
-from corpuskit.operators import audit, profile, sample
+from corpuskit.operators import audit, profile, sample, sketches
 from corpuskit.plans.profile import run_profile
+from corpuskit.session import scratch_path
 
 TEXTS = ["plain_text", "html_with_citations"]
 # Fixed value: the control-character class, in DuckDB's spelling.
@@ -42,6 +43,17 @@ def audit_quantiles_approx(spark, sf_dir):
         *[F.get("quantiles", F.lit(i)).cast("bigint").alias(name) for i, name in enumerate(["p50", "p90", "p99", "p99_9"])])
 
 
+def quantiles_from_sketches(spark, sf_dir):
+    """Lengths of a table that was sketched in two loads, by court; the ranks of the answers are checked on the rows."""
+    opinions, path = view(spark, sf_dir, "opinions"), scratch_path(spark, "sketches")
+    length = F.length("plain_text")
+    for load in (0, 1):
+        sketches.add_sketches(opinions.where(F.col("id") % 2 == load), length, F.col("court_id"), path)
+    found = sketches.sketched_quantiles(spark, path, audit.AUDIT_QUANTILES)
+    checked = sketches.rank_errors(opinions, length, found)
+    return checked.select("q", "n", (F.col("off") <= sketches.RANK_ERROR).alias("close"))
+
+
 def length_histogram(spark, sf_dir):
     return audit.length_histogram(view(spark, sf_dir, "opinions"), text_length(F.col("plain_text")))
 
@@ -142,7 +154,7 @@ def union_parts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in [
-    audit_counts, row_flags, audit_quantiles_exact, audit_quantiles_approx, length_histogram, length_histogram_strict,
+    audit_counts, row_flags, audit_quantiles_exact, audit_quantiles_approx, quantiles_from_sketches, length_histogram, length_histogram_strict,
     longest_rows, control_char_examples, null_rates, empty_counts, date_range, top_courts_keep_null,
     top_courts_drop_null, top_types, audit_summary, audit_summary_flat, bernoulli_sample, bernoulli_sample_capped,
     random_rows, sample_report, sample_profile, union_parts,
@@ -216,6 +228,9 @@ ORACLE = {
         select quantile_disc(n, 0.5) as p50, quantile_disc(n, 0.9) as p90, quantile_disc(n, 0.99) as p99,
           quantile_disc(n, 0.999) as p99_9
         from (select length(plain_text) as n from opinions)""", "opinions"),
+    "quantiles_from_sketches": with_views("""
+        select q, (select count(plain_text) from opinions) as n, true as close
+        from (values (0.5::double), (0.9::double), (0.99::double), (0.999::double)) as asked(q)""", "opinions"),
     "length_histogram": with_views(
         f"select {_NULL_BUCKET} as bucket, count(*) as row_count from opinions group by 1", "opinions"),
     "length_histogram_strict": with_views(
