@@ -31,8 +31,9 @@ PERCENT = 85
 LEAST_BITS, MOST_BITS = 10, 20
 BITS_PER_ITEM, WIDE_BITS_PER_ITEM = 4, 16
 TILE_ROWS, TILE_BYTES = 512, 8 << 20
-MEMO_WORDS = 250_000
-MEMO_SETS = 100_000
+MEMO_WORDS = 100_000
+MEMO_SETS = 50_000
+ITEM_ROWS = 256
 # Rows of two longs at most, 16 MB, that are sent to all tasks.
 BROADCAST_ROWS = 1 << 20
 
@@ -137,6 +138,7 @@ def _sets(batches, width: int):
         yield pa.RecordBatch.from_arrays(
             [ids, digests, *[pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()]], names=["id", "digest", *out])
         id_type = ids.type
+    pa.default_memory_pool().release_unused()
     if rows:
         blocks = counts.blocks()
         none = lambda kind: pa.nulls(len(blocks), kind)
@@ -327,11 +329,15 @@ def _with_both(pairs: DataFrame, sets: DataFrame, columns: dict[str, tuple[str,
 
 def _items(batches, width: int):
     shingler = Shingler(width)
-    for batch in batches:
-        found = [shingler.items(raw.as_py()) for raw in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(i) for i in found], pa.int32()), pa.array([bitmap(i, WIDE_BITS_PER_ITEM) for i in found], pa.binary()),
-             pa.array([i.tobytes() for i in found], pa.binary())], names=["node", "n", "wide", "items"])
+    for whole in batches:
+        # A few texts at a time, for their items take several times the room of the texts.
+        for at in range(0, whole.num_rows, ITEM_ROWS):
+            batch = whole.slice(at, ITEM_ROWS)
+            found = [shingler.items(raw.as_py()) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(i) for i in found], pa.int32()), pa.array([bitmap(i, WIDE_BITS_PER_ITEM) for i in found], pa.binary()),
+                 pa.array([i.tobytes() for i in found], pa.binary())], names=["node", "n", "wide", "items"])
+    pa.default_memory_pool().release_unused()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, width: int, percent: int, bounded: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ MODEL_WORDS = 200_000
 MODEL_GRAMS = 200_000
 # Words (or n-grams) times languages: with many languages the model knows fewer words of each.
 MODEL_NUMBERS = 4_000_000
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 # Words beyond this number make a verdict no surer.
 EVIDENCE_WORDS = 50
 
