@@ -227,7 +227,6 @@ def least_length(credentials: dict[str, list[str]]) -> int:
 def learn_formats(credentials: dict[str, list[str]], others: list[str], alpha: float = ALPHA) -> FormatModel:
     """Automata of the given examples; a kind without examples finds nothing."""
     least = least_length(credentials)
-    others = [token for token in others if len(token) >= least]
     other = PrefixTree(others).automaton(alpha) if others else None
     model = FormatModel({}, other, {}, least)
     for kind, examples in credentials.items():
