@@ -37,7 +37,7 @@ def audit_quantiles_exact(spark, sf_dir):
 
 
 def audit_quantiles_approx(spark, sf_dir):
-    quantiles = audit.approx_quantiles(
+    quantiles = audit.discrete_quantiles(
         view(spark, sf_dir, "opinions"), text_length(F.col("plain_text")), audit.AUDIT_QUANTILES)
     return quantiles.select(
         *[F.get("quantiles", F.lit(i)).cast("bigint").alias(name) for i, name in enumerate(["p50", "p90", "p99", "p99_9"])])
