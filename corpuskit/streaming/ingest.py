@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from corpuskit.operators.rulings import KEY, first_per_key, usable, with_doc_key
+from corpuskit.operators.rulings import KEY, usable, with_doc_key
 from corpuskit.session import materialise
 from corpuskit.sources.payloads import explode_items
-from corpuskit.streaming.state import open_store, read_store, run_name, write_batch
+from corpuskit.streaming.state import open_store, read_store, run_name, use_engine_state, write_batch
 
 LAYOUT = ["collection", "year"]
 
@@ -22,29 +26,66 @@ def payload_stream(spark: SparkSession, src: str, files_per_batch: int | None =
     return reader.text(src, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
 
 
+class FirstStored(StatefulProcessor):
+    """Lets a key through once: its first row in ``order``, in the first micro-batch that brings it; the engine holds the keys."""
+
+    def __init__(self, columns: list[str], order: list[str]):
+        self.columns, self.order = columns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min(rows, key=lambda row: tuple(_nulls_first(row[c]) for c in self.order))
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield Row(**{c: first[c] for c in self.columns})
+
+    def close(self) -> None:
+        pass
+
+
+def _nulls_first(value):
+    return (value is not None, value)
+
+
+def firsts(batches, key: list[str], order: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a key in a batch the first in ``order``; so a key listed over and over reaches its task as a few rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        at = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+        names = [f"k{i}" for i in range(len(key))]
+        keys = pa.table([table.column(k).take(at) for k in key] + [at], names=[*names, "no"])
+        found = keys.group_by(names, use_threads=False).aggregate([("no", "first")])
+        yield from table.take(found.column("no_first")).combine_chunks().to_batches()
+
+
 def store_new_documents(
     documents: DataFrame, store: str, checkpoint: str, order: list[str], restart: bool = False
 ) -> StreamingQuery:
     """Adds documents whose key was never stored, with no limit on how far back that goes.
 
-    A restart reads all input again and still skips what earlier runs stored. The store
-    is laid out by collection and year, and only the years of a batch are looked up.
+    The keys this run stored are kept in engine state in its checkpoint, so a micro-batch looks up only its own keys
+    and never reads the store. A restart reads all input again and still skips what earlier runs stored: their keys
+    are taken from the store once, when the run starts. The store is laid out by collection and year.
     """
-    run, schema = run_name(restart), documents.schema
-    open_store(documents.sparkSession, store, run, schema, LAYOUT)
+    spark, run, schema = documents.sparkSession, run_name(restart), documents.schema
+    open_store(spark, store, run, schema, LAYOUT)
+    earlier = read_store(spark, store, schema).where(F.col("run") != run).select(*KEY).distinct()
+    earlier = None if earlier.isEmpty() else materialise(earlier, "earlier_keys")
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
-        # Kept, because it is looked at twice and pages are slow to parse.
-        found = materialise(first_per_key(usable(batch), order), "batch")
-        # Years have the form 19xx or 20xx, so these are two hundred at most.
-        years = [row["year"] for row in found.select("year").distinct().collect()]
-        stored = read_store(batch.sparkSession, store, schema).where(F.col("year").isin(years))
-        known = stored.where((F.col("run") != run) | (F.col("batch") < batch_id)).select(*KEY).distinct()
-        fresh = found.join(known, KEY, "left_anti")
+        fresh = batch if earlier is None else batch.join(earlier, KEY, "left_anti").select(*schema.names)
         write_batch(fresh, store, run, batch_id, LAYOUT)
 
+    use_engine_state(spark)
+    rows = usable(documents)
+    thin = rows.mapInArrow(lambda batches: firsts(batches, KEY, order), rows.schema)
+    new = thin.groupBy(*KEY).transformWithState(FirstStored(schema.names, order), schema, "Append", "None")
     return (
-        documents.writeStream.foreachBatch(store_batch)
+        new.writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", f"{checkpoint}/{run}").trigger(availableNow=True).start()
     )
 

@@ -1,5 +1,6 @@
 """Streams stop and resume; what they store equals the batch result."""
 
+import glob
 import json
 import time
 
@@ -70,6 +71,18 @@ def test_small_batches_store_each_key_once(spark, folder):
     assert stored(spark, folder + "-out") == ["N0", "N1", "N2", "N3", "N4"]
 
 
+
+def test_a_batch_reads_no_stored_batch(spark, folder):
+    src, out, progress = folder, folder + "-out", folder + "-progress"
+    land(src, "p1", ["N1", "N2"])
+    ingest_stream(spark, src, out, progress).awaitTermination()
+    for file in glob.glob(f"{batch_path(out, 'main', 0)}/**/*.parquet", recursive=True):
+        with open(file, "wb") as f:
+            f.write(b"not parquet")
+    land(src, "p2", ["N2", "N3"])
+    ingest_stream(spark, src, out, progress).awaitTermination()
+    assert stored(spark, batch_path(out, "main", 1)) == ["N3"]
+
 @pytest.fixture
 def log_files(spark, folder):
     """A request log in five files in time order; endpoint 0 has most of the requests."""
