@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from corpuskit.operators.rulings import KEY, usable, with_doc_key
 from corpuskit.session import materialise
 from corpuskit.sources.payloads import explode_items
-from corpuskit.streaming.state import open_store, read_store, run_name, use_engine_state, write_batch
+from corpuskit.streaming.state import (
+    REBALANCED, open_store, read_store, run_name, settings, state_parts, state_settings, write_batch,
+)
 
 LAYOUT = ["collection", "year"]
 
@@ -26,29 +28,6 @@ def payload_stream(spark: SparkSession, src: str, files_per_batch: int | None =
     return reader.text(src, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload"))
 
 
-class FirstStored(StatefulProcessor):
-    """Lets a key through once: its first row in ``order``, in the first micro-batch that brings it; the engine holds the keys."""
-
-    def __init__(self, columns: list[str], order: list[str]):
-        self.columns, self.order = columns, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seen boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = min(rows, key=lambda row: tuple(_nulls_first(row[c]) for c in self.order))
-        if not self.seen.exists():
-            self.seen.update((True,))
-            yield Row(**{c: first[c] for c in self.columns})
-
-    def close(self) -> None:
-        pass
-
-
-def _nulls_first(value):
-    return (value is not None, value)
-
-
 def firsts(batches, key: list[str], order: list[str]) -> Iterator[pa.RecordBatch]:
     """Of the rows of a key in a batch the first in ``order``; so a key listed over and over reaches its task as a few rows."""
     for batch in batches:
@@ -70,6 +49,9 @@ def store_new_documents(
     The keys this run stored are kept in engine state in its checkpoint, so a micro-batch looks up only its own keys
     and never reads the store. A restart reads all input again and still skips what earlier runs stored: their keys
     are taken from the store once, when the run starts. The store is laid out by collection and year.
+
+    Within a micro-batch a key's first row in ``order`` is the one stored: rows reach the engine's deduplication sorted,
+    and it lets the first through. They are dealt by key to the parts of the state, so none are dealt anew in between.
     """
     spark, run, schema = documents.sparkSession, run_name(restart), documents.schema
     open_store(spark, store, run, schema, LAYOUT)
@@ -78,16 +60,19 @@ def store_new_documents(
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         fresh = batch if earlier is None else batch.join(earlier, KEY, "left_anti").select(*schema.names)
-        write_batch(fresh, store, run, batch_id, LAYOUT)
+        # The engine runs stateful queries without adaptive plans, and without these nothing is rebalanced.
+        with settings(batch.sparkSession, REBALANCED):
+            write_batch(fresh, store, run, batch_id, LAYOUT)
 
-    use_engine_state(spark)
     rows = usable(documents)
     thin = rows.mapInArrow(lambda batches: firsts(batches, KEY, order), rows.schema)
-    new = thin.groupBy(*KEY).transformWithState(FirstStored(schema.names, order), schema, "Append", "None")
-    return (
-        new.writeStream.foreachBatch(store_batch)
-        .option("checkpointLocation", f"{checkpoint}/{run}").trigger(availableNow=True).start()
-    )
+    parts = state_parts(spark, f"{checkpoint}/{run}")
+    sorted_rows = thin.repartition(parts, *KEY).sortWithinPartitions(*KEY, *order)
+    with settings(spark, state_settings(parts)):
+        return (
+            sorted_rows.dropDuplicates(KEY).writeStream.foreachBatch(store_batch)
+            .option("checkpointLocation", f"{checkpoint}/{run}").trigger(availableNow=True).start()
+        )
 
 
 def ingest_stream(

@@ -83,6 +83,49 @@ def test_a_batch_reads_no_stored_batch(spark, folder):
     ingest_stream(spark, src, out, progress).awaitTermination()
     assert stored(spark, batch_path(out, "main", 1)) == ["N3"]
 
+
+def land_repeated(folder, prefix, numbers, files=8):
+    """Every number in every file, in another order; its first row is in the first file."""
+    for i in range(files):
+        land(folder, f"{prefix}{i}", numbers[i * 7 % len(numbers):] + numbers[:i * 7 % len(numbers)])
+
+
+def test_first_row_of_a_batch_is_stored_also_under_other_shuffle_settings(spark, folder):
+    src, out, progress = folder, folder + "-out", folder + "-progress"
+    land_repeated(src, "p", [f"N{i}" for i in range(60)])
+    ingest_stream(spark, src, out, progress).awaitTermination()
+    land_repeated(src, "q", [f"N{i}" for i in range(30, 120)])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        query = ingest_stream(spark, src, out, progress)
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = sorted((int(r.number[1:]), r.file.rsplit("/", 1)[1], r.idx) for r in spark.read.parquet(out).collect())
+    assert got == [(i, "p0.json", i) for i in range(60)] + [(i, "q0.json", i - 30) for i in range(60, 120)]
+    plan = query._jsq.explainInternal(False)
+    between = plan[plan.index("StreamingDeduplicate"):plan.index("MapInArrow")]
+    assert between.index("Sort") < between.index("Exchange") and between.count("Exchange") == 1
+
+
+def test_a_small_batch_is_few_files_and_keeps_its_state_in_the_engine(spark, folder):
+    for i in range(8):
+        land(folder, f"p{i}", [f"N{i}{j}" for j in range(40)])
+    query = ingest_stream(spark, folder, folder + "-out", folder + "-progress")
+    query.awaitTermination()
+    assert len(glob.glob(f"{batch_path(folder + '-out', 'main', 0)}/**/*.parquet", recursive=True)) == 1
+    assert len(stored(spark, folder + "-out")) == 320
+    assert [state["operatorName"] for state in query.recentProgress[0]["stateOperators"]] == ["dedupe"]
+
+
+def test_ingest_leaves_the_settings_of_the_session(spark, folder):
+    land(folder, "p1", ["N1"])
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.streaming.unsupportedOperationCheck"]
+    before = [spark.conf.get(name) for name in names]
+    ingest_stream(spark, folder, folder + "-out", folder + "-progress").awaitTermination()
+    assert [spark.conf.get(name) for name in names] == before
+
 @pytest.fixture
 def log_files(spark, folder):
     """A request log in five files in time order; endpoint 0 has most of the requests."""
