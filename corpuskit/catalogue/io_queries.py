@@ -22,8 +22,15 @@ COMPACT_BYTES = 1 << 19
 def _opinions_csv(spark, sf_dir, one_file=False, **options):
     path, rows = scratch_path(spark, "csv"), view(spark, sf_dir, "opinions")
     # The table is a single row group; written by several tasks it becomes several files.
-    rows = rows.coalesce(1) if one_file else rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-    sinks.write_csv(rows, path, null_value=NULL, **options)
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    sinks.write_csv(rows.coalesce(1) if one_file else dealt, path, null_value=NULL, **options)
+    return path
+
+
+def _opinions_bz2(spark, sf_dir):
+    """All records in one compressed file."""
+    path, rows = scratch_path(spark, "csv"), view(spark, sf_dir, "opinions")
+    sinks.write_one_csv(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"), path, null_value=NULL)
     return path
 
 
@@ -50,7 +57,7 @@ def csv_split_backslash(spark, sf_dir):
 
 
 def csv_split_bz2(spark, sf_dir):
-    return read_bulk_csv(spark, _opinions_csv(spark, sf_dir, one_file=True, compression="bzip2"), null_value=NULL)
+    return read_bulk_csv(spark, _opinions_bz2(spark, sf_dir), null_value=NULL)
 
 
 def bulk_etl(spark, sf_dir):

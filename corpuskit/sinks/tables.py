@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuskit.session import delete_folder, scratch_path
 from corpuskit.sources.bulk_csv import ESCAPE
 from corpuskit.sources.files import dataset_bytes, read_stage
 
 GIB = 1 << 30
+EMPTY_BZIP2 = 14
+COPY_BYTES = 1 << 22
 
 
 def write_stage(df: DataFrame, path: str, codec: str = "zstd") -> None:
@@ -56,17 +59,47 @@ def write_sample(sample: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_csv(
-    df: DataFrame, path: str, dialect: str = "doubled", null_value: str = "\\N", compression: str = "none"
+    df: DataFrame, path: str, dialect: str = "doubled", null_value: str = "\\N", compression: str = "none", header: bool = True
 ) -> None:
     """CSV as the bulk reader expects it; the default trimming would eat control characters."""
     (
         df.write.mode("overwrite")
-        .options(header=True, quote='"', escape=ESCAPE[dialect], nullValue=null_value)
+        .options(header=header, quote='"', escape=ESCAPE[dialect], nullValue=null_value)
         .options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression=compression)
         .csv(path)
     )
 
 
+def write_one_csv(df: DataFrame, path: str, **options) -> None:
+    """`write_csv` as a single bzip2 file, compressed by the tasks of ``df``.
+
+    Files of this format that follow one another are one file again, so the tasks' files are copied behind a header as they are.
+    """
+    spark = df.sparkSession
+    parts = scratch_path(spark, "csv-parts")
+    names = spark.createDataFrame([], df.schema).coalesce(1)
+    write_csv(names, f"{parts}/header", compression="bzip2", **options)
+    write_csv(df, f"{parts}/rows", compression="bzip2", header=False, **options)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(f"{path}/part-00000.csv.bz2")
+    store = target.getFileSystem(conf)
+    store.delete(target.getParent(), True)
+    out = store.create(target, True)
+    try:
+        for folder in ("header", "rows"):
+            found = store.globStatus(hadoop.fs.Path(f"{parts}/{folder}/part-*"))
+            for file in sorted(found, key=lambda file: file.getPath().getName()):
+                if file.getLen() > EMPTY_BZIP2:
+                    rows = store.open(file.getPath())
+                    try:
+                        hadoop.io.IOUtils.copyBytes(rows, out, COPY_BYTES, False)
+                    finally:
+                        rows.close()
+    finally:
+        out.close()
+    delete_folder(spark, parts)
+
+
 def write_documents(df: DataFrame, path: str, replace: bool = False) -> None:
     """Documents and their metadata, laid out by collection and year.
 

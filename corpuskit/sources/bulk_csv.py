@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from corpuskit.functions.columns import quoted
+from corpuskit.sources.cut_csv import read_well_quoted
 
 ESCAPE = {"doubled": '"', "backslash": "\\"}
 CORRUPT = "_corrupt_record"
@@ -41,12 +42,29 @@ def read_bulk_csv(
     """All columns as strings; compression follows the file extension.
 
     A file is one task, because a record may span lines and only reading from the start tells where it ends.
-    Land large exports as several files.
+    Land large exports as several files. A single bzip2 file, whose decompression takes most of the time, is read by
+    many tasks if it is larger than one task's share and well quoted.
     """
     reader = spark.read.options(**csv_options(dialect, null_value)).option("header", header).option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.csv(path)
+    whole = reader.csv(path)
+    if dialect == "doubled" and header and schema is None and mode == "PERMISSIVE" and (file := _large_bz2(spark, whole)):
+        options = {k: v for k, v in csv_options(dialect, null_value).items() if k != "multiLine"}
+        cut = read_well_quoted(spark, file, whole.schema, options)
+        return whole if cut is None else cut
+    return whole
+
+
+def _large_bz2(spark: SparkSession, rows: DataFrame) -> str | None:
+    """The only file of ``rows``, if it is a bzip2 one of more bytes than a task is to read."""
+    found = rows.inputFiles()
+    if len(found) != 1 or not found[0].endswith(".bz2"):
+        return None
+    file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(found[0]))
+    length = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(file).getLen()
+    share = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return file.toString() if length > share else None
 
 
 def split_bad_records(

@@ -1,6 +1,7 @@
 """Files written to a fresh folder and read back."""
 
 import bz2
+import glob
 import random
 from pathlib import Path
 
@@ -13,7 +14,8 @@ from corpuskit.sinks import tables
 from corpuskit.sinks.subtitles import write_subtitles
 from corpuskit.sinks.text_files import write_text_files
 from corpuskit.sources import files
-from corpuskit.sources.bulk_csv import read_bulk_csv, read_checked_csv, split_bad_records, string_schema
+from corpuskit.sources.bulk_csv import csv_options, read_bulk_csv, read_checked_csv, split_bad_records, string_schema
+from corpuskit.sources.cut_csv import read_well_quoted
 from corpuskit.sources.subtitles import read_subtitles, split_subtitles
 
 NULL = "\\N"
@@ -228,3 +230,67 @@ def test_failed_tasks_leave_no_text_files(spark, folder):
     with pytest.raises(Exception, match="stop"):
         write_text_files(df, folder + "/out")
     assert not list(Path(folder).glob("out/task=*"))
+
+
+@pytest.fixture
+def small_shares(spark):
+    """Tasks read some kilobytes each, so that a small file counts as a large one."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, ["8k", "1k"]):
+        spark.conf.set(name, value)
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def whole_file(spark, path):
+    return spark.read.options(**csv_options("doubled", "\\N")).option("header", True).csv(path)
+
+
+def land_bz2(folder, text):
+    """A file of many small blocks."""
+    with open(f"{folder}/export.csv.bz2", "wb") as f:
+        f.write(bz2.compress(text.encode(), 1))
+    return f"{folder}/export.csv.bz2"
+
+
+def test_one_large_bz2_file_is_written_and_read_by_many_tasks(spark, folder, small_shares):
+    texts = ['a "quoted" word, and\n\n"more', "plain", "", None, '1,2,3\n4,"5",6\n', '"', "\u00e9t\u00e9\nN", "\\N x", " led", '""\n""']
+    rng = random.Random(7)
+    rows = [(i, rng.choice(texts), "".join(rng.choices("abc,\"\n xyz", k=rng.randint(0, 400)))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, short string, long string").repartition(5, "id")
+    path = folder + "/one"
+    tables.write_one_csv(df, path)
+    assert len(glob.glob(path + "/part-*")) == 1
+    got = read_bulk_csv(spark, path, null_value="\\N")
+    assert got.rdd.getNumPartitions() > 1
+    assert rows_of(got) == rows_of(whole_file(spark, path)) == sorted([(str(i), a, b) for i, a, b in rows], key=repr)
+
+
+def test_one_bz2_file_without_rows_has_its_header(spark, folder):
+    tables.write_one_csv(spark.createDataFrame([], "id long, text string"), folder + "/one")
+    got = read_bulk_csv(spark, folder + "/one", null_value="\\N")
+    assert got.columns == ["id", "text"] and got.count() == 0
+
+
+def test_pieces_that_were_guessed_wrong_are_scanned_again(spark, folder, small_shares):
+    # Records have fewer fields than their header; lines of their texts look like full ones.
+    text = "id,text\n" + "".join('"%d\n%s"\n' % (i, "\n".join(f"{i * j % 997},{j}" for j in range(3000))) for i in range(60))
+    path = land_bz2(folder, text)
+    got = read_bulk_csv(spark, path, null_value="\\N")
+    assert got.rdd.getNumPartitions() > 1
+    assert rows_of(got) == rows_of(whole_file(spark, path))
+
+
+@pytest.mark.parametrize("odd", ['7,5" wide,x', '7,"a"b,x', "7,a\rb,x", "", "  ,b,x", '7,"a" ,x', '7,"open,x'])
+def test_a_bz2_file_with_an_odd_record_is_read_whole(spark, folder, small_shares, odd):
+    lines = [f'{i},"a\n{i * 7919 % 10007}",{i * 104729 % 15485863}' for i in range(4000)]
+    lines.insert(2000, odd)
+    path = land_bz2(folder, "id,a,b\n" + "\n".join(lines) + "\n")
+    assert read_well_quoted(spark, path, string_schema(["id", "a", "b"]), {}) is None
+    assert rows_of(read_bulk_csv(spark, path, null_value="\\N")) == rows_of(whole_file(spark, path))
