@@ -81,10 +81,11 @@ def write_one_csv(df: DataFrame, path: str, **options) -> None:
     write_csv(names, f"{parts}/header", compression="bzip2", **options)
     write_csv(df, f"{parts}/rows", compression="bzip2", header=False, **options)
     hadoop, conf = spark._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
-    target = hadoop.fs.Path(f"{path}/part-00000.csv.bz2")
+    # Readers pass over the name it has until it is whole.
+    target, begun = hadoop.fs.Path(f"{path}/part-00000.csv.bz2"), hadoop.fs.Path(f"{path}/_part-00000.csv.bz2")
     store = target.getFileSystem(conf)
     store.delete(target.getParent(), True)
-    out = store.create(target, True)
+    out = store.create(begun, True)
     try:
         for folder in ("header", "rows"):
             found = store.globStatus(hadoop.fs.Path(f"{parts}/{folder}/part-*"))
@@ -97,6 +98,7 @@ def write_one_csv(df: DataFrame, path: str, **options) -> None:
                         rows.close()
     finally:
         out.close()
+    store.rename(begun, target)
     delete_folder(spark, parts)
 
 
